@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
@@ -19,6 +25,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op6_mixing, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
