@@ -13,18 +13,32 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomgraph.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op6_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op6_mixing, op9_bpe, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
