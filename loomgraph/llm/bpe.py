@@ -24,6 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import small_batches
+
 #: The pattern that splits a text into words, fixed by the vocabulary. White space is Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + r"]+"
@@ -315,6 +317,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, digest: bool
     with open(path, encoding="utf-8") as f:
         vocabulary = f.read()
     spark = docs.sparkSession
+    small_batches(spark)
     automaton = spark.sparkContext.broadcast(lexicon(docs, vocabulary, words))
     given = spark.sparkContext.broadcast(vocabulary)
     made = {"n_tokens": "long"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import small_batches, stored
 from loomgraph.llm.components import components
 from loomgraph.llm.words import mix, shingles, word_hashes
 
@@ -96,6 +96,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     are kept and have a null component. Rows that share an id count as one document for links (its least set key
     is compared) and are all returned. Other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, k, bands, rows, seed))
     filled = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
