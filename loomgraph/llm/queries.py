@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import id_bucket, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +20,28 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_bucket(F.col("doc_id"), 4) == 2)
+    model = train(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_bucket(F.col("doc_id"), 5) == 0)
+    model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(id_bucket(F.col("doc_id"), 5) != 0))
+    return score(docs, model).select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +56,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op6_mixing, op9_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op5_language, op6_mixing, op8_toxicity, op9_bpe, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
