@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import ready_workers, stored
 from loomgraph.llm.components import components
 
 SAMPLE, BLOCK = 4096, 512
@@ -200,7 +200,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
     misses it with probability ``miss``. A bucket of more than ``part`` vectors is dealt in parts by a hash, and
     pairs of parts are compared, so that no task gathers a bucket.
     """
-    spark = vectors.sparkSession
+    ready_workers(vectors.sparkSession, 4096)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))

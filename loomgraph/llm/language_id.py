@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import ready_workers
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     empty one, and a model without languages says ``und``. Columns of docs named like a result are replaced. All
     other columns pass through untouched, so texts are read once and never shuffled.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "text")]
     df = docs.select(*(F.col(f"`{c}`") for c in kept), "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string", "lang_score double"])

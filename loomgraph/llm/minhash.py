@@ -4,8 +4,9 @@
 2. Documents with equal sets form a class; only its least id goes on. Bands that two or more classes share make
    candidates: each member with the least id of the band, which is linear in the members.
 3. Candidates that the sizes allow are compared on their full sets; links give components.
-4. Members of one band that are still in different components are compared too, each with each, so nothing
-   rests on the choice of a centre. Classes already connected need no comparison.
+4. Documents that met one centre but are not in its component (outliers) are compared with all that met it, in
+   blocks on an inverted index of full sets, so nothing rests on the choice of a centre: two documents that share
+   a band share its centre. No pairs are emitted but links.
 
 With ``bands`` bands of ``rows`` minima a pair of similarity 0.8 is missed with probability
 (1 - 0.8**rows)**bands: 5e-8 for 32 bands of 4.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches, stored
+from loomgraph.llm.common import ready_workers, stored
 from loomgraph.llm.components import components
 from loomgraph.llm.words import mix, shingles, word_hashes
 
@@ -76,6 +77,56 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
+def _outliers(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block (hub, i, j), with side, doc_id, component, text, to links between components.
+
+    Side 0 holds a part of a centre's outliers and side 1 another part of its documents; i = j has one side. A
+    block has two parts at most, and only the sets of its documents are held.
+    """
+    def linked(rows: list[tuple[int, int, int, np.ndarray]], alone: bool) -> Iterator[tuple[int, int]]:
+        asks = [r for r in rows if r[0] == 0]
+        told = asks if alone else [r for r in rows if r[0] == 1]
+        if not asks or not told:
+            return
+        size = np.array([len(r[3]) for r in told])
+        flat, owner = np.concatenate([r[3] for r in told]), np.repeat(np.arange(len(told)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for _, doc, comp, own in asks:
+            same = np.zeros(len(told), np.int64)
+            first, last = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            n = last - first
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) >> 20, prepend=0))  # about a million postings at once
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
+                at = np.repeat(first[a:b] - np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b]) + np.arange(n[a:b].sum()) if b > a else np.zeros(0, np.int64)
+                same += np.bincount(owner[at], minlength=len(told))
+            for t in np.flatnonzero((same > 0) & (100 * same >= percent * (len(own) + size - same))).tolist():
+                if told[t][1] != doc and (p := find(comp)) != (q := find(told[t][2])):
+                    root[p] = q
+                    yield doc, told[t][1]
+
+    def done(block: tuple | None, rows: list) -> pa.RecordBatch:
+        found = [(min(x), max(x)) for x in linked(rows, block[1] == block[2])] if block else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    block, rows = None, []
+    for batch in batches:
+        hub, i, j, side, doc, comp, text = (batch.column(c).to_pylist() for c in range(7))
+        for r, words in word_hashes(text):
+            if (hub[r], i[r], j[r]) != block:
+                yield done(block, rows)
+                block, rows = (hub[r], i[r], j[r]), []
+            rows.append((side[r], doc[r], comp[r], shingles(words, k)))
+    yield done(block, rows)
+
+
 def signatures(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (key of the whole set), bands (hashes of rows minima each)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_sign, k=k, bands=bands, rows=rows, seed=seed), _SIGNED)
@@ -89,14 +140,40 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(partial(_compare, k=k, percent=percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
+def _across(met: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int, part: int) -> DataFrame | None:
+    """Links between documents of different components that met one centre; met(a: the centre, b)."""
+    member = met.select(F.col("a").alias("hub"), F.col("b").alias("doc")).unionByName(met.select(F.col("a").alias("hub"), F.col("a").alias("doc")).distinct())
+    own = groups.select(F.col("id").alias("doc"), "component")
+    member = member.join(own, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    member = member.join(groups.select(F.col("id").alias("hub"), F.col("component").alias("core")), "hub", "left")
+    member = stored(member.withColumn("out", F.col("component") != F.coalesce("core", "hub")).drop("core"))
+    outs, cores = F.sum(F.col("out").cast("int")), F.sum((~F.col("out")).cast("int"))
+    sizes = stored(member.groupBy("hub").agg(outs.alias("n_out"), cores.alias("n_core")).where("n_out > 0"))
+    if sizes.isEmpty():
+        return None
+    parts = lambda c: F.ceil(F.col(c) / part).cast("int")
+    rows = member.join(sizes.select("hub", parts("n_out").alias("p_out"), parts("n_core").alias("p_core")), "hub")
+    # parts 0 to p_out - 1 hold outliers, those after them the rest
+    own_part = F.when(F.col("out"), F.pmod(F.xxhash64("doc"), F.col("p_out"))).otherwise(F.col("p_out") + F.pmod(F.xxhash64("doc"), F.greatest("p_core", F.lit(1)))).cast("int")
+    rows = rows.withColumn("p", own_part)
+    asks = F.transform(F.sequence(F.col("p"), F.col("p_out") + F.col("p_core") - 1), lambda q: F.struct(F.col("p").alias("i"), q.alias("j"), F.lit(0).alias("side")))
+    upto = F.least(F.col("p"), F.col("p_out")) - 1
+    told = F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), lambda q: F.struct(q.alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))))
+    blocks = F.when(F.col("out"), F.concat(asks, F.coalesce(told, F.array().cast("array<struct<i:int,j:int,side:int>>")))).otherwise(told)
+    rows = stored(rows.select("hub", "doc", "component", F.explode(blocks).alias("x")).select("hub", "x.i", "x.j", "x.side", "doc", "component"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
+    full = rows.join(texts, "doc").select("hub", "i", "j", "side", "doc", "component", "text")
+    return stored(full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_outliers, k=k, percent=percent), "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7, part: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable, itself included), kept.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing. Rows with a null id
     are kept and have a null component. Rows that share an id count as one document for links (its least set key
     is compared) and are all returned. Other columns of docs are not read.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     signed = stored(signatures(docs, k, bands, rows, seed))
     filled = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -112,17 +189,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = stored(verified(first, docs, k, percent))
     groups = components(links)
 
-    # what shares a band but no component yet
-    placed = met.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = stored(placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band"))
-    rest = stored(placed.join(mixed, "band").select("band", "doc_id", "n", "component"))
-    other = rest.select("band", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component")))
-    second = rest.join(other, "band").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
-    second = second.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(second)
-    if not second.isEmpty():
-        links = links.unionByName(verified(second, docs, k, percent))
-        groups = components(links)
+    found = _across(first, groups, docs, k, percent, part)
+    if found is not None:
+        groups = components(links.unionByName(found))
     # copies of a class go where their representative goes
     groups = stored(groups)
     led = same.join(groups.select(F.col("id").alias("a"), "component"), "a", "left").select(F.col("b").alias("id"), F.least("a", F.coalesce("component", "a")).alias("component")).distinct()

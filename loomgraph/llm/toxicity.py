@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import ready_workers
 
 #: Common insults of the four languages at hand.
 LEXICON = frozenset("""
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
     Labels other than 0 and 1, and null ids, are left out; an id labelled twice counts as toxic if any label is.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = F.broadcast(ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample))  # bounded by sample
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], Boosted]) -> DataFrame
     Null and empty texts have features of 0 and get the score of such. Rows are independent; an empty table gives
     an empty one.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("text", "toxicity")]
     df = docs.select(*(F.col(f"`{c}`") for c in kept), "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), "toxicity double"])
