@@ -34,6 +34,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.suffix_tree import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_bucket(F.col("doc_id"), 7) == 2)
+    return score(docs, docs.where(~F.col("held_out")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.toxicity import score, train
 
@@ -56,6 +63,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op5_language, op6_mixing, op8_toxicity, op9_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
