@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import ready_workers
 
 #: The pattern that splits a text into words, fixed by the vocabulary. White space is Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -98,17 +98,16 @@ class Vocabulary:
                     heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
         return [t for t, g in zip(ids, gone, strict=True) if not g]
 
-    def parts(self, text: str) -> Iterator[tuple[str, int]]:
-        """Stretches of text with -1, and special strings with their ids, in order."""
-        at = 0
-        for m in self.apart.finditer(text) if self.apart else ():
-            yield text[at : m.start()], -1
-            yield m[0], self.special[m[0]]
-            at = m.end()
-        yield text[at:], -1
-
     def split(self, text: str) -> list[str]:
-        return list(chain.from_iterable(self.words(t) for t, i in self.parts(text) if i < 0))
+        """The words of a text, special strings among them (no word is equal to one)."""
+        if not any(t in text for t in self.special):
+            return self.words(text)
+        out, at = [], 0
+        for m in self.apart.finditer(text):
+            out += self.words(text[at : m.start()])
+            out.append(m[0])
+            at = m.end()
+        return out + self.words(text[at:])
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -228,41 +227,58 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
+        #: The ids of a word, the same in decimal, and the bytes that they decode to.
         self.ready: dict[str, tuple[int, ...]] = {}
+        self.shown: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+
+    def words(self, texts: Sequence[str | None]) -> list[list[str]]:
+        """The words of each text; all are in the store afterwards."""
+        if len(self.ready) > READY:
+            for store in (self.ready, self.shown, self.raw):
+                store.clear()
+        out = [self.vocabulary.split(t) if t else [] for t in texts]
+        self._learn(sorted(set(chain.from_iterable(out)) - self.ready.keys()))
+        return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.ready]
+    def _learn(self, new: list[str]) -> None:
+        v, t = self.vocabulary, self.transducer
         raw = [w.encode() for w in new]
-        t = self.transducer
         for w, b, r in zip(new, raw, t.ranks(raw).tolist(), strict=True):
-            self.ready[w] = tuple(t.out[t.at[r] : t.at[r + 1]].tolist()) if r >= 0 else tuple(self.vocabulary.merge(b))
+            if w in v.special:
+                ids = (v.special[w],)
+            else:
+                ids = tuple(t.out[t.at[r] : t.at[r + 1]].tolist()) if r >= 0 else tuple(v.merge(b))
+            self.ready[w], self.shown[w], self.raw[w] = ids, ",".join(map(str, ids)), b"".join(map(v.bytes_of.__getitem__, ids))
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[list[int]]:
-        for text in texts:
-            ids: list[int] = []
-            if len(self.ready) > READY:
-                self.ready.clear()
-            for part, special in self.vocabulary.parts(text or ""):
-                if special >= 0:
-                    ids.append(special)
-                    continue
-                words = self.vocabulary.words(part)
-                self.learn(words)
-                ids.extend(chain.from_iterable(map(self.ready.__getitem__, words)))
-            yield ids
+        for words in self.words(texts):
+            yield list(chain.from_iterable(map(self.ready.__getitem__, words)))
+
+    def digests(self, texts: Sequence[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, sha256 of the ids in decimal joined by commas, sha256 of the decoded text.
+
+        Decoding joins the bytes of all ids before it reads them as UTF-8, so the bytes of a word's ids are
+        joined once for each word of the store.
+        """
+        for words in self.words(texts):
+            ids = ",".join(map(self.shown.__getitem__, words))
+            decoded = b"".join(map(self.raw.__getitem__, words)).decode("utf-8", "replace").encode()
+            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
     v, seen = Vocabulary(vocabulary.value), Counter()
 
     def handed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        short = [(w, n) for w, n in seen.items() if len(w) <= SHORT]  # longer ones are merged where they occur
+        out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
         seen.clear()
         return out
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(w for w in v.split(text or "") if len(w) <= SHORT)  # longer ones are merged where they occur
+            seen.update(v.split(text or ""))
             if len(seen) > HELD:
                 yield handed()
     yield handed()
@@ -282,19 +298,12 @@ def _encoder(vocabulary: Broadcast, automaton: Broadcast) -> Encoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, automaton: Broadcast, digest: bool) -> Iterator[pa.RecordBatch]:
     e = _encoder(vocabulary, automaton)
-    sha = lambda s: hashlib.sha256(s).hexdigest()
-    text_of = [str(i) for i in range(max(e.vocabulary.bytes_of) + 1)]
+    names = ["n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
     for batch in batches:
-        n, first, second = [], [], []
-        for ids in e.encode(batch.column(batch.num_columns - 1).to_pylist()):
-            n.append(len(ids))
-            if digest:
-                first.append(sha(",".join(map(text_of.__getitem__, ids)).encode()))
-                second.append(sha(e.vocabulary.decode(ids).encode()))
-            else:
-                first.append(ids)
-                second.append(e.vocabulary.decode(ids))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())], [*batch.schema.names[:-1], "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        made = list(e.digests(texts)) if digest else [(len(ids), ids, e.vocabulary.decode(ids)) for ids in e.encode(texts)]
+        kinds = (pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], [*batch.schema.names[:-1], *names])
 
 
 def lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> bytes:
@@ -317,7 +326,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, digest: bool
     with open(path, encoding="utf-8") as f:
         vocabulary = f.read()
     spark = docs.sparkSession
-    small_batches(spark)
+    ready_workers(spark)
     automaton = spark.sparkContext.broadcast(lexicon(docs, vocabulary, words))
     given = spark.sparkContext.broadcast(vocabulary)
     made = {"n_tokens": "long"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"})
