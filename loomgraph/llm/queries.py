@@ -20,6 +20,12 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.edit_fingerprint import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.language_id import identify, train
 
@@ -63,6 +69,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op3_fingerprint, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
