@@ -26,6 +26,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.pii import find, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find(docs, train(docs))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.language_id import identify, train
 
@@ -69,6 +76,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op3_fingerprint, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op3_fingerprint, op4_pii, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
