@@ -76,6 +76,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op3_fingerprint, op4_pii, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_embedding, op3_fingerprint, op4_pii, op5_language, op6_mixing, op7_suffix_tree, op8_toxicity, op9_bpe, op10_url_filter, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
