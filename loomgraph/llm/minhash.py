@@ -132,16 +132,15 @@ def signatures(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 4, seed
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_sign, k=k, bands=bands, rows=rows, seed=seed), _SIGNED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Both joins use one exchange of the texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough; texts(id, text)."""
     left = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     both = left.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "ta", "b", "tb")
     return both.mapInArrow(partial(_compare, k=k, percent=percent), "a long, b long")
 
 
-def _across(met: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int, part: int) -> DataFrame | None:
-    """Links between documents of different components that met one centre; met(a: the centre, b)."""
+def _across(met: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent: int, part: int) -> DataFrame | None:
+    """Links between documents of different components that met one centre; met(a: the centre, b), texts(id, text)."""
     member = met.select(F.col("a").alias("hub"), F.col("b").alias("doc")).unionByName(met.select(F.col("a").alias("hub"), F.col("a").alias("doc")).distinct())
     own = groups.select(F.col("id").alias("doc"), "component")
     member = member.join(own, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -161,8 +160,7 @@ def _across(met: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent:
     told = F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), lambda q: F.struct(q.alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))))
     blocks = F.when(F.col("out"), F.concat(asks, F.coalesce(told, F.array().cast("array<struct<i:int,j:int,side:int>>")))).otherwise(told)
     rows = stored(rows.select("hub", "doc", "component", F.explode(blocks).alias("x")).select("hub", "x.i", "x.j", "x.side", "doc", "component"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc").isNotNull())
-    full = rows.join(texts, "doc").select("hub", "i", "j", "side", "doc", "component", "text")
+    full = rows.join(texts.withColumnRenamed("id", "doc"), "doc").select("hub", "i", "j", "side", "doc", "component", "text")
     return stored(full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_outliers, k=k, percent=percent), "a long, b long").distinct())
 
 
@@ -186,10 +184,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     met = stored(banded.join(stored(hubs), "band"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a larger set can't be that alike
     first = stored(met.where((F.col("doc_id") > F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = stored(verified(first, docs, k, percent))
+    # only texts with a candidate move on: all texts are shuffled once at most
+    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"))
+    links = stored(verified(first, texts, k, percent))
     groups = components(links)
 
-    found = _across(first, groups, docs, k, percent, part)
+    found = _across(first, groups, texts, k, percent, part)
     if found is not None:
         groups = components(links.unionByName(found))
     # copies of a class go where their representative goes
