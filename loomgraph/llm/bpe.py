@@ -16,7 +16,7 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,10 @@ from loomgraph.llm.common import ready_workers
 _WS = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + r"]+"
 #: Words in the automaton, words kept ready by a worker, and distinct words counted before they are handed on.
-LEXICON, READY, HELD = 1 << 17, 300_000, 200_000
+LEXICON, READY, HELD = 1 << 17, 400_000, 200_000
 #: Longer words use a heap.
 SHORT = 48
+_NONE = 1 << 60  # no merge
 
 
 def byte_chars() -> dict[str, int]:
@@ -54,10 +55,14 @@ class Vocabulary:
         ids = {b: i for i, b in self.bytes_of.items()}
         self.byte_id = [ids[bytes([b])] for b in range(256)]
         raw = lambda t: bytes(chars[c] for c in t)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(spec["model"]["merges"]):
+        #: The id that a pair becomes. Ids of merges rise with their rank, so the least id is the merge to do.
+        self.merges: dict[tuple[int, int], int] = {}
+        last = -1
+        for m in spec["model"]["merges"]:
             a, b = (raw(t) for t in (m if isinstance(m, list) else m.split(" ")))
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            if ids[a + b] <= last:
+                raise ValueError("the ids of merges are not in the order of their ranks")
+            self.merges[ids[a], ids[b]] = last = ids[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.words = regex.compile(WORDS).findall
@@ -66,27 +71,27 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the merge of lowest rank first, the leftmost of equals."""
-        ids, merges = [self.byte_id[b] for b in word], self.merges
+        ids, get = [self.byte_id[b] for b in word], self.merges.get
         if len(ids) > SHORT:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        made = [get(p, _NONE) for p in pairwise(ids)]
+        while made and (best := min(made)) < _NONE:
+            i = made.index(best)
+            ids[i] = best
+            del ids[i + 1], made[i]
+            if i:
+                made[i - 1] = get((ids[i - 1], best), _NONE)
+            if i < len(made):
+                made[i] = get((best, ids[i + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
         after, before, gone = [*range(1, n), -1], [*range(-1, n - 1)], bytearray(n)
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            new, i, a, b = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
@@ -94,8 +99,8 @@ class Vocabulary:
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [t for t, g in zip(ids, gone, strict=True) if not g]
 
     def split(self, text: str) -> list[str]:
