@@ -556,7 +556,7 @@ class Compiler:
                     ids_, rels_ = (x["path"], x["rels"]) if x["ahead"] else (F.reverse(x["path"]), F.reverse(x["rels"]))
                     nodes = F.concat(nodes, F.transform(F.slice(ids_, 2, F.greatest(F.size(ids_) - 1, F.lit(0))), lambda k: k.cast(kind)))
                     length = length + x["depth"]
-                    lists.append(F.transform(rels_, lambda e, has=has: F.struct(e["src"].cast("string").alias("src"), e["dst"].cast("string").alias("dst"), *((e[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in fields.items()))))
+                    lists.append(F.transform(rels_, _shaped(has, fields)))
             rels = F.concat(*lists) if lists else F.array()
         c = self.fresh(p.path)
         s.df = s.df.withColumn(c, F.struct(length.alias("length"), nodes.alias("nodes"), rels.alias("rels")))
@@ -792,6 +792,14 @@ class Compiler:
         return registry.aggregate(x.name, args, x.distinct, [(ex.val(e), down) for e, down in x.order], self.text, x.at)
 
 
+def _shaped(has: dict[str, T.DataType], fields: dict[str, T.DataType]):
+    """A function from a relationship to a struct of its ends and all fields."""
+    def shape(e: Column) -> Column:
+        return F.struct(e["src"].cast("string").alias("src"), e["dst"].cast("string").alias("dst"), *((e[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in fields.items()))
+
+    return shape
+
+
 def _bare(x: Any) -> list[A.Node]:
     """Variables used other than as n.p."""
     if isinstance(x, A.Prop) and isinstance(x.base, A.Var):
