@@ -32,7 +32,7 @@ FAMILIES = {
 }
 BITS = 13
 #: Training rows: at most about this many in all, spread evenly over the languages.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Most languages.
 MAX_LANGUAGES = 200
 _LETTER: list[np.ndarray] = []
@@ -70,11 +70,11 @@ def train_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 150)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
-    size = (x * x).sum(axis=1).max(initial=1e-12) + 1
+    size = float(np.einsum("ij,ij->i", x, x).max(initial=1e-12)) + 1
     rate = 1 / (2 * size + l2)
     for k in range(rounds):
-        m = share * np.maximum(0, 1 - y * (x @ vw + vb)) * y
-        nw, nb = vw - rate * (l2 * vw - 2 * (m @ x)), vb + rate * 2 * m.sum()
+        m = share * np.maximum(0, 1 - y * (x @ vw.astype(x.dtype) + vb)) * y
+        nw, nb = vw - rate * (l2 * vw - 2 * (m.astype(x.dtype) @ x)), vb + rate * 2 * m.sum()
         q = k / (k + 3)
         vw, vb, w, b = nw + q * (nw - w), nb + q * (nb - b), nw, nb
     return w, b
@@ -125,10 +125,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     langs = sorted({r[0] for r in rows})
     families = sorted({family_of(x) for x in langs})
     by = {f: [x for x in langs if family_of(x) == f] for f in families}
-    x = np.zeros((len(rows), 1 << BITS))
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
     for i, (_, at, value) in enumerate(rows):
         x[i, at] = value
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
+    scale = (1 / np.sqrt(x.mean(axis=0) + 1e-6)).astype(np.float32)
     x *= scale
     x *= 3
     own = np.array([r[0] for r in rows], object)
