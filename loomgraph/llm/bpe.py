@@ -12,11 +12,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
-from itertools import chain, pairwise
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from loomgraph.llm.common import ready_workers
 #: The pattern that splits a text into words, fixed by the vocabulary. White space is Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + r"]+"
+#: The same for texts of ASCII and Latin letters, which need no Unicode tables, and what keeps a text from it.
+LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LATIN_WORDS = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+"
+NOT_LATIN = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
 #: Words in the automaton, words kept ready by a worker, and distinct words counted before they are handed on.
 LEXICON, READY, HELD = 1 << 17, 400_000, 200_000
 #: Longer words use a heap.
@@ -65,10 +70,13 @@ class Vocabulary:
             self.merges[ids[a], ids[b]] = last = ids[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.words = regex.compile(WORDS).findall
+        self._any, self._latin, self._odd = regex.compile(WORDS).findall, re.compile(LATIN_WORDS).findall, re.compile(NOT_LATIN).search
         order = sorted(self.special, key=len, reverse=True)
         self.apart = regex.compile("|".join(regex.escape(t) for t in order)) if order else None
 
+    def words(self, text: str) -> list[str]:
+        return self._any(text) if self._odd(text) else self._latin(text)
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the merge of lowest rank first, the leftmost of equals."""
         ids, get = [self.byte_id[b] for b in word], self.merges.get
@@ -243,7 +251,7 @@ class Encoder:
             for store in (self.ready, self.shown, self.raw):
                 store.clear()
         out = [self.vocabulary.split(t) if t else [] for t in texts]
-        self._learn(sorted(set(chain.from_iterable(out)) - self.ready.keys()))
+        self._learn(list(set(filterfalse(self.ready.__contains__, chain.from_iterable(out)))))
         return out
 
     def _learn(self, new: list[str]) -> None:
