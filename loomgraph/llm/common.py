@@ -39,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready_workers(spark: SparkSession, rows: int = 256) -> None:
+def ready_workers(spark: SparkSession, rows: int = 128) -> None:
     """Before Python runs on executors: small batches, and this package on the workers' path.
 
-    Spark buffers a whole Arrow batch outside the heap on both sides of the pipe, so 10,000 texts a batch cost
-    gigabytes an executor. The path helps local sessions that were started in another folder.
+    Spark buffers a whole Arrow batch outside the heap on both sides of the pipe, afresh in every task, until the
+    next garbage collection: 10,000 texts a batch cost gigabytes an executor. The path helps local sessions that were started in another folder.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

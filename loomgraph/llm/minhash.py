@@ -134,8 +134,8 @@ def signatures(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 4, seed
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough; texts(id, text)."""
-    left = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    both = left.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "ta", "b", "tb")
+    left = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+    both = left.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "ta", "b", "tb")
     return both.mapInArrow(partial(_compare, k=k, percent=percent), "a long, b long")
 
 
@@ -160,7 +160,7 @@ def _across(met: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent
     told = F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), lambda q: F.struct(q.alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))))
     blocks = F.when(F.col("out"), F.concat(asks, F.coalesce(told, F.array().cast("array<struct<i:int,j:int,side:int>>")))).otherwise(told)
     rows = stored(rows.select("hub", "doc", "component", F.explode(blocks).alias("x")).select("hub", "x.i", "x.j", "x.side", "doc", "component"))
-    full = rows.join(texts.withColumnRenamed("id", "doc"), "doc").select("hub", "i", "j", "side", "doc", "component", "text")
+    full = rows.hint("merge").join(texts.withColumnRenamed("id", "doc"), "doc").select("hub", "i", "j", "side", "doc", "component", "text")
     return stored(full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_outliers, k=k, percent=percent), "a long, b long").distinct())
 
 
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     are kept and have a null component. Rows that share an id count as one document for links (its least set key
     is compared) and are all returned. Other columns of docs are not read.
     """
-    ready_workers(docs.sparkSession)
+    ready_workers(docs.sparkSession, 64)
     signed = stored(signatures(docs, k, bands, rows, seed))
     filled = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -184,9 +184,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     met = stored(banded.join(stored(hubs), "band"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a larger set can't be that alike
     first = stored(met.where((F.col("doc_id") > F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    # only texts with a candidate move on: all texts are shuffled once at most
+    # Only texts with a candidate move on: all texts are shuffled once. Joins with texts are merge joins at every
+    # size, since what is on the other side grows with the corpus.
     ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi"))
     links = stored(verified(first, texts, k, percent))
     groups = components(links)
 
