@@ -682,7 +682,7 @@ class Compiler:
         by = {n: i.expr for i, n in zip(items, names, strict=True)}
         for i, n in zip(items, names, strict=True):
             # an alias of the same list, where no variable has the name
-            e = A.rewrite(i.expr, lambda x, n=n: by[x.name] if isinstance(x, A.Var) and x.name not in s.scope and x.name in by and x.name != n else None)
+            e = A.substitute(i.expr, {k: v for k, v in by.items() if k not in s.scope and k != n})
             v = values[n] = ex.val(e)
             c = self.fresh(n)
             cols.append(v.col.alias(c))
@@ -701,7 +701,7 @@ class Compiler:
         siblings = {n: i.expr for i, n in zip(items, names, strict=True) if n not in s.scope}
         # aliases of the same list inside other results
         for _ in range(len(items)):
-            items = [replace(i, expr=A.rewrite(i.expr, lambda x, n=n: siblings[x.name] if isinstance(x, A.Var) and x.name in siblings and x.name != n else None)) for i, n in zip(items, names, strict=True)]
+            items = [replace(i, expr=A.substitute(i.expr, {k: v for k, v in siblings.items() if k != n})) for i, n in zip(items, names, strict=True)]
         ex = self.exprs(s)
         groups, carried, keys, aggs = [], [], {}, {}
         shape: dict[str, tuple[str, Val]] = {}
