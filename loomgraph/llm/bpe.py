@@ -236,33 +236,35 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of texts: a bounded store of words met, then the transducer, then exact merging."""
+    """Ids of texts: a bounded store of words met, then the transducer, then exact merging.
 
-    def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
-        self.vocabulary, self.transducer = vocabulary, transducer
-        #: The ids of a word, the same in decimal, and the bytes that they decode to.
-        self.ready: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+    The store holds the ids of a word, or only their decimal form where digests are wanted.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, decimal: bool = False):
+        self.vocabulary, self.transducer, self.decimal = vocabulary, transducer, decimal
+        self.ready: dict[str, tuple[int, ...] | str] = {}
+        #: words whose ids decode to other bytes than their own
+        self.changed: dict[str, bytes] = {}
 
     def words(self, texts: Sequence[str | None]) -> list[list[str]]:
         """The words of each text; all are in the store afterwards."""
         if len(self.ready) > READY:
-            for store in (self.ready, self.shown, self.raw):
-                store.clear()
+            self.ready.clear()
         out = [self.vocabulary.split(t) if t else [] for t in texts]
         self._learn(list(set(filterfalse(self.ready.__contains__, chain.from_iterable(out)))))
         return out
 
     def _learn(self, new: list[str]) -> None:
-        v, t = self.vocabulary, self.transducer
+        v, t, bytes_of = self.vocabulary, self.transducer, self.vocabulary.bytes_of.__getitem__
         raw = [w.encode() for w in new]
-        for w, b, r in zip(new, raw, t.ranks(raw).tolist(), strict=True):
-            if w in v.special:
-                ids = (v.special[w],)
-            else:
-                ids = tuple(t.out[t.at[r] : t.at[r + 1]].tolist()) if r >= 0 else tuple(v.merge(b))
-            self.ready[w], self.shown[w], self.raw[w] = ids, ",".join(map(str, ids)), b"".join(map(v.bytes_of.__getitem__, ids))
+        rank = t.ranks(raw)
+        first, last, out = t.at[rank].tolist(), t.at[rank + 1].tolist(), t.out
+        for w, b, r, a, z in zip(new, raw, rank.tolist(), first, last, strict=True):
+            ids = [v.special[w]] if w in v.special else out[a:z].tolist() if r >= 0 else v.merge(b)
+            self.ready[w] = ",".join(map(str, ids)) if self.decimal else tuple(ids)
+            if (back := b"".join(map(bytes_of, ids))) != b:
+                self.changed[w] = back
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[list[int]]:
         for words in self.words(texts):
@@ -271,12 +273,15 @@ class Encoder:
     def digests(self, texts: Sequence[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, sha256 of the ids in decimal joined by commas, sha256 of the decoded text.
 
-        Decoding joins the bytes of all ids before it reads them as UTF-8, so the bytes of a word's ids are
-        joined once for each word of the store.
+        Decoding joins the bytes of all ids before it reads them as UTF-8. The ids of every word of the store were
+        decoded when it was learned, so the words themselves stand for their bytes unless these differ.
         """
         for words in self.words(texts):
-            ids = ",".join(map(self.shown.__getitem__, words))
-            decoded = b"".join(map(self.raw.__getitem__, words)).decode("utf-8", "replace").encode()
+            ids = ",".join(map(self.ready.__getitem__, words))
+            if self.changed and not self.changed.keys().isdisjoint(words):
+                decoded = b"".join(self.changed.get(w) or w.encode() for w in words).decode("utf-8", "replace").encode()
+            else:
+                decoded = "".join(words).encode()
             yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
@@ -300,17 +305,17 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(vocabulary: Broadcast, automaton: Broadcast) -> Encoder:
+def _encoder(vocabulary: Broadcast, automaton: Broadcast, decimal: bool) -> Encoder:
     """The worker's encoder for these broadcasts, kept between its tasks."""
-    key = hash((hash(vocabulary.value), hashlib.sha256(automaton.value).digest()))
+    key = hash((hash(vocabulary.value), hashlib.sha256(automaton.value).digest(), decimal))
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(vocabulary.value), Transducer.mapped(automaton.value))
+        _ENCODERS[key] = Encoder(Vocabulary(vocabulary.value), Transducer.mapped(automaton.value), decimal)
     return _ENCODERS[key]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, automaton: Broadcast, digest: bool) -> Iterator[pa.RecordBatch]:
-    e = _encoder(vocabulary, automaton)
+    e = _encoder(vocabulary, automaton, digest)
     names = ["n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
