@@ -23,8 +23,14 @@ from loomgraph.llm.pii import train as train_field
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are null or have no letter go; lang is what the text says, not what was claimed."""
-    held = identify(docs, train_language(docs)).where(F.col("lang_pred") != "und")
+    """Texts that are null or have no letter go; lang is what the text says, not what was claimed.
+
+    Where no language can be learned (no text has one), nothing is said of lang.
+    """
+    model = train_language(docs)
+    if not model.families:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    held = identify(docs, model).where(F.col("lang_pred") != "und")
     return held.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
