@@ -30,11 +30,12 @@ OTHER = len(KINDS)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]").search
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").finditer
+#: Only the start of a run of digits can start a match; without going back, long runs cost linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 #: Runs that may be a number someone wrote differently, and addresses with words for the signs.
-_RUN = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}(?![A-Za-z0-9])").finditer
+_RUN = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}(?![A-Za-z0-9])").finditer
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]+)+").finditer
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Log-potential of agreement on a skip edge, least marginal of a span, rounds of message passing.

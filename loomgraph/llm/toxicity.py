@@ -31,8 +31,9 @@ idiota imbécil estúpido tonto basura asqueroso cabrón
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted vosotros vuestro".split())
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
 _WORD = re.compile(r"[^\W\d_]+").findall
-#: A letter, then signs or digits that stand for letters, then a letter, in one word.
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*_.\-]+[^\W\d_]+)+").findall
+#: A letter, then signs or digits that stand for letters, then a letter, in one word. Starts at the start of a run of
+#: letters and never goes back, so it is linear in the text.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*_.\-]++[^\W\d_]++)++").findall
 NEAR = 4
 SAMPLE, LEARNED = 20_000, 200
 FEATURES = 13
