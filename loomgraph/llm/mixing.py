@@ -140,7 +140,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken = stored(taken)
     least = taken.groupBy("source").agg(F.min("copies").alias("least"))
     upto = taken.join(F.broadcast(least).withColumnRenamed("source", "s"), taken["source"].eqNullSafe(F.col("s"))).groupBy(taken["source"].alias("mix_source")).agg(F.min("least").alias("mix_least"), F.max(F.when(F.col("copies") > F.col("least"), F.col("h"))).alias("mix_upto"))
-    more = (order_key(docs["doc_id"]) <= F.coalesce("mix_upto", F.lit(-1))).cast("int")
-    copies = F.when(word_count(docs["text"]) == 0, 1).otherwise(F.col("mix_least").cast("int") + more)
-    dealt = docs.join(F.broadcast(upto), docs["source"].cast("string").eqNullSafe(F.col("mix_source")), "left")
-    return dealt.where(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("mix_copy")).drop("mix_copy")
+    # names that docs has not
+    free = "mix"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    upto = upto.toDF(f"{free}s", f"{free}l", f"{free}u")
+    more = (order_key(docs["doc_id"]) <= F.coalesce(F.col(f"{free}u"), F.lit(-1))).cast("int")
+    copies = F.when(word_count(docs["text"]) == 0, 1).otherwise(F.col(f"{free}l").cast("int") + more)
+    dealt = docs.join(F.broadcast(upto), docs["source"].cast("string").eqNullSafe(F.col(f"{free}s")), "left")
+    return dealt.where(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(f"{free}c")).drop(f"{free}c")

@@ -27,6 +27,7 @@ RULES = (
 )
 
 _SYLLABLES = ["ri", "ver", "lan", "tern", "wil", "low", "thun", "der", "gar", "den", "th", "er", "tion", "nd", "st", "wh", "ly", "ing", "sh", "re", "ble", "ha", "ou", "in", "mo", "ka", "co", "per"]
+_WORDS = ["river", "garden", "lantern", "museum", "library", "weather", "recipes", "school", "city", "travel", "music", "forest", "history", "science", "health", "market", "bridge", "harvest", "mountain", "village", "letters", "paper", "studio", "kitchen"]
 _LURES = ["spam", "free", "casino", "pills", "bets", "cheap", "win", "prize", "xxx", "adult", "loans", "bonus", "click", "deals", "farm", "porn", "viagra", "replica", "crypto", "payday", "jackpot", "slots", "ads", "track"]
 _TAILS = ["com", "net", "org"]
 _PATHS = ["/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/fr/{}", "/de/{}.html", "/en/{}/", "/es/{}/", "/news/{}", ""]
@@ -42,6 +43,8 @@ def _labelled() -> tuple[tuple[str, int], ...]:
         sub, end, path = ["", "www.", "m.", "blog."][i % 4], _TAILS[i % 3], _PATHS[i % 10].format((i * 7919 + 11) % 50021)
         a, b = _SYLLABLES[i * 5 % 28], _SYLLABLES[(i * 11 + i // 28) % 28]
         out.append((f"{sub}{a}{b}{_SYLLABLES[(i * 3 + 1) % 28] if i % 2 else ''}.example.{end}{path}", 0))
+        if i % 2:
+            out.append((f"{sub}{_WORDS[i // 2 % 24]}{['', '-', ''][i % 3]}{_WORDS[(i * 7 + 5) % 24] if i % 3 else ''}.example.{end}{path}", 0))
         x, y = _LURES[i % 24], _LURES[(i * 7 + 3 + i // 24) % 24]
         out.append((f"{sub}{x}-{y}.example.{end}{path}" if i % 3 else f"{sub}{a}{b}.example.{end}/{x}/{y}{path}", 1))
     return tuple(out)
@@ -92,13 +95,23 @@ def fit(labelled: Sequence[tuple[str, int]] = LABELLED, sizes: Sequence[int] = (
     return bias, weights
 
 
-def spam_score(host: Column, path: Column, model: tuple[float, list[float]], sizes: Sequence[int] = (3, 4, 5)) -> Column:
-    """Probability of block, from character n-grams of ``^host path$`` hashed with crc32."""
+def characters(host: Column, path: Column) -> Column:
+    """The characters of ``^host path$``, of which a gram is a few look-ups; substrings would scan long texts again
+    and again."""
+    return F.split(F.concat(F.lit("^"), host, path, F.lit("$")), "")
+
+
+def spam_score(chars: Column, model: tuple[float, list[float]], sizes: Sequence[int] = (3, 4, 5)) -> Column:
+    """Probability of block from the n-grams, hashed with crc32, of an array of characters (a column, not computed)."""
     bias, weights = model
-    text = F.concat(F.lit("^"), host, path, F.lit("$"))
     vector = F.array(*[F.lit(float(w)) for w in weights])
-    n = F.char_length(text)
-    hashed = [F.transform(F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.crc32(F.substr(text, i, F.lit(k))) % len(weights)) for k in sizes]
+    n = F.size(chars)
+
+    def of_size(k: int) -> Column:
+        first = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(first, lambda i: F.crc32(F.concat(*(F.get(chars, i + j) for j in range(k)))) % len(weights))
+
+    hashed = [of_size(k) for k in sizes]
     grams = F.concat(*hashed)
     total = F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(vector, h.cast("int")))
     # the norm of the count vector: runs of equal buckets in sorted order
@@ -115,7 +128,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
     """
     host, path = parts(F.col("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))
-    score = spam_score(F.col("host"), F.col("path"), fit(labelled, sizes, buckets), sizes)
+    df = df.withColumn("chars", characters(F.col("host"), F.col("path")))
+    score = spam_score(F.col("chars"), fit(labelled, sizes, buckets), sizes)
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
     df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
     return df.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

@@ -35,7 +35,7 @@ def test_tree_gives_distributions(spark):
 
 
 def test_learned_texts_score_higher(spark):
-    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "xqzj vwkk pfft ggrr"), (3, None), (4, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat sat on the hat"), (2, "xqzj vwkk pfft ggrr"), (3, None), (4, "")], "doc_id long, text string")
     training = spark.createDataFrame([("the cat sat on the hat and the dog sat on the cat",)] * 40, "text string")
     got = {r["doc_id"]: r for r in score(docs, training, share=1e-4).collect()}
     assert got[1]["score"] / got[1]["n_tokens"] > got[2]["score"] / got[2]["n_tokens"]
