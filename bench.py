@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = (
-    "q_flagship_top_customers", "c5_three_hops", "c6_closing_cycle", "c8_two_matches", "c9_optional_where", "c14_exists_multi_hop", "c16_not_exists", "c17_exists_under_or", "b4_multi_type_hop",
+    "q_flagship_top_customers", "c5_three_hops", "c8_two_matches", "c9_optional_where", "c14_exists_multi_hop", "c16_not_exists", "c17_exists_under_or", "b4_multi_type_hop",
     "d3_vlp", "d1_vlp_deep", "d14_vlp_all_edges", "d15_terminator", "d19_vlp_continuation", "d20_bidirectional", "d23_reachability", "e7_having", "h1_aggregates", "h13_ordered_collect", "a5_boundary",
 )
 
