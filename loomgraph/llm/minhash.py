@@ -6,7 +6,7 @@
 3. Candidates that the sizes allow are compared on their full sets; links give components.
 4. Documents that met one centre but are not in its component (outliers) are compared with all that met it, in
    blocks on an inverted index of full sets, so nothing rests on the choice of a centre: two documents that share
-   a band share its centre. No pairs are emitted but links.
+   a band share its centre, whatever its size. No pairs are emitted but links.
 
 With ``bands`` bands of ``rows`` minima a pair of similarity 0.8 is missed with probability
 (1 - 0.8**rows)**bands: 5e-8 for 32 bands of 4.
@@ -181,17 +181,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = signed.join(same.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "hub", "hub_n")
-    met = stored(banded.join(stored(hubs), "band"))
+    met = banded.join(stored(hubs), "band")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a larger set can't be that alike
-    first = stored(met.where((F.col("doc_id") > F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    met = stored(met.where(F.col("doc_id") > F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), fits(F.col("n"), F.col("hub_n")).alias("fits")).distinct())
+    first = met.where("fits").select("a", "b")
+    met = met.select("a", "b")
     # Only texts with a candidate move on: all texts are shuffled once. Joins with texts are merge joins at every
     # size, since what is on the other side grows with the corpus.
-    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi"))
     links = stored(verified(first, texts, k, percent))
     groups = components(links)
 
-    found = _across(first, groups, texts, k, percent, part)
+    found = _across(met, groups, texts, k, percent, part)
     if found is not None:
         groups = components(links.unionByName(found))
     # copies of a class go where their representative goes

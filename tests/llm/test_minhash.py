@@ -63,6 +63,18 @@ def test_a_group_of_near_copies_whose_centre_is_far(spark):
         assert got == want
 
 
+def test_near_copies_whose_centres_are_all_larger(spark):
+    """Documents with lower ids hold a passage and over 25% more; two near copies of the passage alone are still linked."""
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base + [f"x{c}_{i}" for i in range(50)]) for c in range(200)]
+    texts += [" ".join(base), " ".join("z" if i in (40, 100) else w for i, w in enumerate(base))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(range(len(texts)), texts, 4)
+    assert want[201][1] == 200
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, k=4).collect()}
+    assert got == want
+
+
 def test_odd_rows(odd, empty):
     got = near_duplicates(odd, k=4).collect()
     assert len(got) == odd.count()
