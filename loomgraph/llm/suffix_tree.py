@@ -5,7 +5,8 @@ sorting, and sums meet in a shuffle, so what is gathered grows with the corpus.
 is frequent (a share of the corpus, which bounds the number of states whatever the corpus's size) and its
 next-byte distribution diverges from its parent's; suffixes of states are states. Distributions are smoothed
 from the shorter contexts down to a uniform one (Witten-Bell). A text's bytes are scored by their longest state,
-and each word's probability is mixed with its share of the corpus if it is a frequent word.
+and each word's probability is mixed with its share of the corpus: a frequent word's in the task itself, any
+other's by a join.
 
 Texts are scored in normal form: A-Z in lower case, words joined by single spaces, then an end symbol.
 """
@@ -261,13 +262,16 @@ def mixed(segments: np.ndarray, unigram: np.ndarray, weight: float) -> np.ndarra
 
 
 def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast, frequent: Broadcast, scale: float, tokens: int, ends: int, weight: float) -> Iterator[pa.RecordBatch]:
-    """(row, text, with) to kind 0 rows, a text's own (n_tokens, known, base, score), and kind 1 rows, its rare words."""
+    """(row, text, with) to kind 0 rows, a text's own (n_tokens, known, base, score), and kind 1 rows.
+
+    Those are its rare words, one row each time: known is 1 for the last word and score the tree's log10 probability.
+    """
     t, keys, counts = _shared(tree, frequent)
     fields = ["row", "kind", "word", "n", "known", "base", "score", "with"]
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         n, known, base, score = (np.zeros(len(ids), k) for k in (np.int64, np.int64, float, float))
-        rare_row, rare_word, rare_n, unigram = [], [], [], []
+        rare_row, rare_word, rare_last, rare_score, unigram, rare = [], [], [], [], [], []
         for i, h in word_hashes(texts):
             n[i] = len(h)
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
@@ -279,10 +283,12 @@ def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast, frequent: Broadc
             u[: len(h)][hit] = counts[at[hit]] / max(1, tokens) * (1 - ends / max(1, tokens))
             u[-1] = (u[-1] / (1 - ends / tokens) if len(h) else 1.0) * ends / tokens if tokens > ends else 0.0
             unigram.append(u)
-            w, c = np.unique(h[~hit], return_counts=True)
-            rare_row.append(np.full(len(w), ids[i]))
-            rare_word.append(w)
-            rare_n.append(c)
+            lost = np.flatnonzero(~hit)
+            rare.append(np.zeros(len(u), bool))
+            rare[-1][lost] = True
+            rare_row.append(np.full(len(lost), ids[i]))
+            rare_word.append(h[lost])
+            rare_last.append((lost == len(h) - 1).astype(np.int64))
         i = 0
         while i < len(texts):
             j, held, size = i, [], 0
@@ -294,13 +300,15 @@ def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast, frequent: Broadc
             last = code & _U(0xFF)
             stops = np.flatnonzero((last == _U(0x20)) | (last == _U(END)))
             s = np.cumsum(t.score(code))[stops]
-            m = mixed(np.diff(s, prepend=0.0), np.concatenate(unigram[i:j]), weight)
+            own, late = np.diff(s, prepend=0.0), np.concatenate(rare[i:j])
+            m = np.where(late, 0.0, mixed(own, np.concatenate(unigram[i:j]), weight))
+            rare_score.append(own[late])
             first = np.cumsum([0, *map(len, unigram[i:j])])
             score[i:j] = np.add.reduceat(m, first[:-1])
             i = j
-        m = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rare_row, rare_word, rare_n)]
-        k, z = len(m[0]), np.zeros(len(m[0]))
-        columns = [np.r_[ids, m[0]].astype(np.int64), np.r_[np.zeros(len(ids), np.int32), np.ones(k, np.int32)].astype(np.int32), np.r_[np.zeros(len(ids), np.int64), m[1].astype(_U).view(np.int64)], np.r_[n, m[2]].astype(np.int64), np.r_[known, z.astype(np.int64)], np.r_[base, z], np.r_[score, z]]
+        m = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rare_row, rare_word, rare_last, rare_score)]
+        k = len(m[0])
+        columns = [np.r_[ids, m[0]].astype(np.int64), np.r_[np.zeros(len(ids), np.int32), np.ones(k, np.int32)].astype(np.int32), np.r_[np.zeros(len(ids), np.int64), m[1].astype(_U).view(np.int64)], np.r_[n, np.ones(k, np.int64)], np.r_[known, m[2].astype(np.int64)], np.r_[base, np.zeros(k)], np.r_[score, m[3].astype(float)]]
         others = batch.column(2)
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.concat_arrays([others, pa.nulls(k, others.type)])], fields)
 
@@ -339,8 +347,15 @@ def score(docs: DataFrame, training: DataFrame, share: float = SHARE, gain: floa
     own = stored(own)
     met = own.where("kind = 1").join(words.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = met.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known2"), F.sum(F.col("n") * F.log10((c + 1) / scale)).alias("base2"))
+    with np.errstate(divide="ignore"):
+        shared, left = float(np.log10(weight)), float(np.log10(1 - weight))
+    # as in mixed(): the tree's probability, and the word's share of the corpus before another word or the end
+    after = F.when(F.col("known") == 1, ends / max(1, tokens)).otherwise(1 - ends / max(1, tokens))
+    tree_part, word_part = F.col("score") + left, F.log10(c / max(1, tokens) * after) + shared
+    most, least = F.greatest(tree_part, word_part), F.least(tree_part, word_part)
+    both = F.when(c * after > 0, most + F.log10(1 + F.pow(F.lit(10.0), least - most))).otherwise(tree_part)
+    rare = met.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known2"), F.sum(F.log10((c + 1) / scale)).alias("base2"), F.sum(both).alias("score2"))
     end = float(np.log10((ends + 1) / scale))
     return own.where("kind = 0").join(rare, "row", "left").select(
         *(F.col(f"with.`{c}`") for c in others), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.coalesce("known2", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0)) + end).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("base2", F.lit(0.0)) + end).alias("base_score"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))

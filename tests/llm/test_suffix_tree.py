@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from loomgraph.llm import suffix_tree
 from loomgraph.llm.queries import QUERIES
 from loomgraph.llm.suffix_tree import DEPTH, END, Lookup, Tree, build, learn, normal, score, windows
 
@@ -43,6 +45,19 @@ def test_learned_texts_score_higher(spark):
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == 1 and got[3]["score"] == got[4]["score"]
 
 
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_scores_do_not_rest_on_how_many_words_are_broadcast(spark, monkeypatch, frequent):
+    docs = spark.createDataFrame([(1, "the cat sat on the hat"), (2, "xqzj the pfft dog"), (3, None), (4, "dog"), (5, "unseen")], "doc_id long, text string")
+    training = spark.createDataFrame([("the cat sat on the hat and the dog sat on the cat",), ("dog",)] * 20, "text string")
+    want = {r["doc_id"]: r for r in score(docs, training).collect()}
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    got = {r["doc_id"]: r for r in score(docs, training).collect()}
+    for i, r in want.items():
+        assert got[i]["n_known"] == r["n_known"]
+        assert math.isclose(got[i]["base_score"], r["base_score"], rel_tol=1e-9)
+        assert math.isclose(got[i]["score"], r["score"], rel_tol=1e-9)
+
+
 def test_odd_rows(odd, empty):
     got = score(odd, odd)
     rows = got.collect()
