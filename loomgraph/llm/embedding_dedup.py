@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,35 @@ def learn_tables(x: np.ndarray, tables: int, bits: int, seed: int = 11) -> list[
     return out
 
 
+def tables_needed(x: np.ndarray, bits: int, threshold: float, miss: float, seed: int = 13) -> int:
+    """The least number of tables that misses a pair at the threshold with probability ``miss``.
+
+    Codes are centred, so how often a bit differs depends on the data: it is measured on unit vectors of x and
+    copies of them turned to the threshold in random directions. It is never taken as less than for planes
+    through the origin.
+    """
+    least = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    x, copies = x[:512], 16
+    learned = learn_tables(x, max(1, math.ceil(256 / bits)), bits)
+    rng = np.random.default_rng(seed)
+    apart = np.zeros(len(x))
+    signs = lambda v: np.concatenate([((v - m) @ p) >= 0 for m, p in learned], axis=1)
+    own = signs(x)
+    for _ in range(copies):
+        u = rng.standard_normal(x.shape)
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
+        apart += (signs(threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * u) != own).mean(axis=1) / copies
+    lost = 1 - (1 - np.maximum(apart, least)) ** bits
+    low, high = 0, 1
+    while (lost**high).mean() > miss and high < 1 << 20:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if (lost**mid).mean() <= miss else (mid, high)
+    return high
+
+
 def substrings(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The code of each row of x in each table, as integers."""
     return np.stack([(((x - m) @ p) >= 0) @ (1 << np.arange(p.shape[1], dtype=np.int64)) for m, p in learned], axis=1)
@@ -188,16 +217,33 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float, part: int) -> It
         yield from finished(pa.concat_tables(waiting))
 
 
+def _found(classes: DataFrame, dim: int, most: int, threshold: float, miss: float, bits: int | None, sample: int, part: int) -> DataFrame:
+    """Links and forest edges (see _links) among classes of one dimension; most: the classes of the largest label."""
+    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded by sample
+    x, _ = _unit([r[0] for r in drawn])
+    width = min(dim, bits or max(6, math.ceil(math.log2(max(2, most) / 64))))
+    learned = learn_tables(x, tables_needed(x, width, threshold, miss), width)
+    coded = stored(classes.select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label long, embedding array<double>, copies long, codes array<long>"))
+    bucket = ["label", "t", "code"]
+    large = stored(coded.select("label", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part))
+    placed = coded.select("rep", "label", "copies", "embedding", "codes", F.posexplode("codes").alias("t", "code")).join(large, bucket, "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / part), F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # a vector of part p goes to every pair of parts with p in it
+    placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "copies", "embedding", "codes", *bucket, "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"))
+    grouped = placed.repartition(*bucket, "low", "high").sortWithinPartitions(*bucket, "low", "high")
+    return stored(grouped.mapInArrow(partial(_links, threshold=threshold, part=part), "a long, b long, n long"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, bits: int | None = None, sample: int = SAMPLE, part: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label).
 
     Only vectors of one label are compared. Null, zero, empty or non-finite vectors and null labels link with
-    nothing. Vectors of another dimension than the sample's first are compared only as exact copies. Rows with a
-    null id or that share one are returned; a null id links with nothing. Other columns are not read.
+    nothing. Vectors are compared with those of their own dimension. Rows with a null id or that share one are
+    returned; a null id links with nothing. Other columns are not read.
 
-    bits grows by one where the vectors of a label double, for buckets of about 64; a pair at the threshold has
-    acos(threshold) / pi of its bits apart on average (6.4% for 0.98), and the number of tables is the least that
-    misses it with probability ``miss``. A bucket of more than ``part`` vectors is dealt in parts by a hash, and
+    bits grows by one where the vectors of a label double, for buckets of about 64; how many bits of a pair at the
+    threshold differ is measured on the sample, and the number of tables is the least that misses it with
+    probability ``miss``. A bucket of more than ``part`` vectors is dealt in parts by a hash, and
     pairs of parts are compared, so that no task gathers a bucket.
     """
     ready_workers(vectors.sparkSession, 4096)
@@ -208,26 +254,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
     keyed = good.withColumn("key", key)
     classes = stored(keyed.groupBy("label", "key").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))).select("label", "key", "copies", F.col("first.vec_id").alias("rep"), F.col("first.embedding").alias("embedding"))
     ids = keyed.select("vec_id", "label", "key")
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded by sample
     same = stored(ids.join(classes.select("label", "key", "rep", "copies"), ["label", "key"]).select("vec_id", "rep", "copies"))
-    if drawn:
-        dim = len(drawn[0][0])
-        x, _ = _unit([r[0] for r in drawn if len(r[0]) == dim])
-        most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        width = min(dim, bits or max(6, math.ceil(math.log2(max(2, most) / 64))))
-        meet = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-        tables = 1 if meet >= 1 else math.ceil(math.log(miss) / math.log(1 - meet))
-        learned = learn_tables(x, tables, width)
-        coded = classes.where(F.size("embedding") == dim).select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label long, embedding array<double>, copies long, codes array<long>")
-        coded = stored(coded)
-        bucket = ["label", "t", "code"]
-        large = stored(coded.select("label", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part))
-        placed = coded.select("rep", "label", "copies", "embedding", "codes", F.posexplode("codes").alias("t", "code")).join(large, bucket, "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / part), F.lit(1)))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        # a vector of part p goes to every pair of parts with p in it
-        placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "copies", "embedding", "codes", *bucket, "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"))
-        grouped = placed.repartition(*bucket, "low", "high").sortWithinPartitions(*bucket, "low", "high")
-        found = stored(grouped.mapInArrow(partial(_links, threshold=threshold, part=part), "a long, b long, n long"))
+    # vectors of different dimensions have no cosine: each dimension has its own rotations and tables
+    dims = classes.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("most")).where("most > 1").orderBy("dim").collect()
+    each = [_found(classes.where(F.size("embedding") == dim), dim, most, threshold, miss, bits, sample, part) for dim, most in dims]
+    if each:
+        found = reduce(DataFrame.unionByName, each)
         links = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
         groups = components(found.where("b <> -1").select("a", "b")).withColumnRenamed("id", "rep")
         same = same.join(stored(links), "rep", "left").join(stored(groups), "rep", "left")

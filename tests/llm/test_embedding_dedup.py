@@ -47,3 +47,33 @@ def test_odd_tables(spark):
     got = near_vectors(one).collect()
     assert len(got) == 4
     assert sorted((r["n_links"] for r in got if r["vec_id"] == 2)) == [1, 1]
+
+
+def _pairs(rng, n, dim, mean, cosine):
+    """n unit vectors about a common direction, and a copy of each turned to the cosine."""
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    off = rng.standard_normal((n, dim))
+    off[:, 0] = 0
+    x = np.sqrt(1 - mean * mean) * unit(off)
+    x[:, 0] += mean
+    u = rng.standard_normal((n, dim))
+    u = unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine * cosine) * u])
+
+
+def test_vectors_with_a_common_mean_equal_brute_force(spark):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(_pairs(np.random.default_rng(8), 200, 64, 0.95, 0.981))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    assert sum(n for n, _ in want.values()) >= 400
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df, bits=14).collect()}
+    assert got == want
+
+
+def test_each_dimension_is_linked(spark):
+    rng = np.random.default_rng(9)
+    each = [[(1000 * d + i, v.tolist(), 0) for i, v in enumerate(_pairs(rng, 20, d, 0.0, 0.99))] for d in (16, 24)]
+    df = spark.createDataFrame(each[0] + each[1], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    assert got == brute(each[0]) | brute(each[1])
+    assert all(n >= 1 for n, _ in got.values())
