@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -52,7 +53,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     given = [i for i, w in enumerate(words) if w in LEXICON]
     odds = [learned[w] for w in words if w in learned]
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if given else []
-    close = sum(any(abs(i - j) <= NEAR for j in you) for i in given) if len(you) * len(given) < 10_000 else len(given)
+    close = sum((k := bisect_left(you, i - NEAR)) < len(you) and you[k] <= i + NEAR for i in given)
     size = len(text)
     letters = sum(map(len, words)) or 1
     capitals = size - len(text.translate(_NO_CAPITALS)) if size else 0

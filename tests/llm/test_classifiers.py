@@ -51,6 +51,17 @@ def test_features_see_masked_words():
     assert toxicity.features(None, {}) == [0.0] * toxicity.FEATURES
 
 
+def test_close_words_of_long_texts_are_counted():
+    apart = ["you"] * 1000 + ["word"] * 10 + ["stupid"] * 10
+    assert toxicity.features(" ".join(apart), {})[6:8] == [0.0, 0.0]
+    x = toxicity.features(" ".join([*apart, "x", "x", "x", "you"]), {})
+    assert x[6] == 1 / 1024 and x[7] == np.log1p(1)
+    rng = np.random.default_rng(2)
+    words = [("you", "stupid", "word", "word")[k] for k in rng.integers(0, 4, 1200)]
+    near = sum("you" in words[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1] for i, w in enumerate(words) if w == "stupid")
+    assert toxicity.features(" ".join(words), {})[6] == near / 1200
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(y) >= 0).all()
