@@ -2,7 +2,7 @@
 
 A rotation is learned on a bounded sample (``sample`` vectors): principal axes, then alternating between binary
 codes and the orthogonal matrix that fits them best. Several rotations from different starts give ``tables``
-substrings of ``bits`` bits; bits follow the number of vectors, so that a bucket keeps a bounded expected size.
+substrings of ``bits`` bits; both follow from what links of the sample look like and from the number of vectors.
 Two vectors meet if they agree in one whole substring. Equal vectors are one class before that. Within a bucket
 vectors are compared in blocks by matrix products in double precision, and a pair counts in the first table
 where it meets, so no pair is emitted or kept: a block gives a number of links for each vector and a forest.
@@ -23,6 +23,8 @@ from loomgraph.llm.common import ready_workers, stored
 from loomgraph.llm.components import components
 
 SAMPLE, BLOCK = 4096, 512
+#: Rough seconds that a row costs in each table, and that a compared pair costs.
+ROW_COST, PAIR_COST = 3e-6, 1e-7
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -45,32 +47,35 @@ def learn_tables(x: np.ndarray, tables: int, bits: int, seed: int = 11) -> list[
     while len(out) < tables:
         mean, p = learn_rotation(x, seed + len(out))
         order = np.random.default_rng(seed + len(out)).permutation(p.shape[1])
-        for i in range(0, max(1, p.shape[1] - bits + 1), bits):
+        for i in range(0, max(1, p.shape[1] - bits + 1), max(1, bits)):
             if len(out) < tables:
                 out.append((mean, p[:, order[i : i + bits]]))
     return out
 
 
-def tables_needed(x: np.ndarray, bits: int, threshold: float, miss: float, seed: int = 13) -> int:
-    """The least number of tables that misses a pair at the threshold with probability ``miss``.
+def _signs(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([((x - m) @ p) >= 0 for m, p in learned], axis=1)
 
-    Codes are centred, so how often a bit differs depends on the data: it is measured on unit vectors of x and
-    copies of them turned to the threshold in random directions. It is never taken as less than for planes
-    through the origin.
-    """
-    least = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    x, copies = x[:512], 16
-    learned = learn_tables(x, max(1, math.ceil(256 / bits)), bits)
+
+def sampled_pairs(x: np.ndarray, label: np.ndarray, threshold: float, seed: int = 13, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of x, rows of x) of one label: those at the threshold or above, and any; at most ``most`` each, drawn evenly."""
+    linked, other = [], []
+    for name in np.unique(label):
+        at = np.flatnonzero(label == name)
+        i, j = np.triu_indices(len(at), 1) if len(at) <= 2048 else np.random.default_rng(seed).integers(0, len(at), (2, 1 << 21))
+        i, j = at[i[i != j]], at[j[i != j]]
+        for k in range(0, len(i), 1 << 18):
+            hit = np.einsum("ij,ij->i", x[i[k : k + (1 << 18)]], x[j[k : k + (1 << 18)]]) >= threshold
+            linked.append(np.stack([i[k : k + (1 << 18)][hit], j[k : k + (1 << 18)][hit]], axis=1))
+        other.append(np.stack([i, j], axis=1)[:: max(1, len(i) // most)])
     rng = np.random.default_rng(seed)
-    apart = np.zeros(len(x))
-    signs = lambda v: np.concatenate([((v - m) @ p) >= 0 for m, p in learned], axis=1)
-    own = signs(x)
-    for _ in range(copies):
-        u = rng.standard_normal(x.shape)
-        u -= (u * x).sum(axis=1, keepdims=True) * x
-        u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
-        apart += (signs(threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * u) != own).mean(axis=1) / copies
-    lost = 1 - (1 - np.maximum(apart, least)) ** bits
+    draw = lambda v: v if len(v) <= most else v[rng.choice(len(v), most, replace=False)]
+    none = [np.zeros((0, 2), np.int64)]
+    return draw(np.concatenate(linked or none)), draw(np.concatenate(other or none))
+
+
+def tables_needed(lost: np.ndarray, miss: float) -> int:
+    """The least number of tables that misses with mean probability ``miss`` the pairs that one table misses with ``lost``."""
     low, high = 0, 1
     while (lost**high).mean() > miss and high < 1 << 20:
         low, high = high, 2 * high
@@ -80,6 +85,37 @@ def tables_needed(x: np.ndarray, bits: int, threshold: float, miss: float, seed:
     return high
 
 
+def plan_codes(x: np.ndarray, label: np.ndarray, rows: int, pairs: float, threshold: float, miss: float, bits: int | None = None, seed: int = 13) -> tuple[int, int]:
+    """(bits, tables): the cheapest that misses a link with probability ``miss``, for so many rows and pairs of one label.
+
+    ``bits`` fixes the width.
+
+    How often a bit differs depends on the data, since codes are centred. It is measured on pairs of the sample x
+    that are links, and on its vectors with copies turned to the threshold in random directions; never taken as
+    less than for planes through the origin. The wider the codes, the more tables, and the fewer pairs meet in
+    each; where links differ in half of the bits, no bits at all (one table, every pair of a label) are cheapest.
+    """
+    least = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    learned = learn_tables(x, max(1, math.ceil(256 / x.shape[1])), x.shape[1])
+    own = _signs(x, learned)
+    linked, other = sampled_pairs(x, label, threshold, seed)
+    rng = np.random.default_rng(seed)
+    part, copies = x[:512], 16
+    turned = np.zeros(len(part))
+    for _ in range(copies):
+        u = rng.standard_normal(part.shape)
+        u -= (u * part).sum(axis=1, keepdims=True) * part
+        u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
+        turned += (_signs(threshold * part + math.sqrt(max(0.0, 1 - threshold * threshold)) * u, learned) != own[:512]).mean(axis=1) / copies
+    apart = [np.maximum(v, least) for v in (turned, (own[linked[:, 0]] != own[linked[:, 1]]).mean(axis=1)) if len(v)]
+    meet = 1 - (own[other[:, 0]] != own[other[:, 1]]).mean(axis=1) if len(other) else np.ones(1)
+    best = (math.inf, 0, 1)
+    for width in range(min(x.shape[1], 24) + 1) if bits is None else [min(bits, x.shape[1])]:
+        tables = max(tables_needed(1 - (1 - a) ** width, miss) for a in apart)
+        best = min(best, (tables * (rows * ROW_COST + pairs * float((meet**width).mean()) * PAIR_COST), width, tables))
+    return best[1:]
+
+
 def substrings(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The code of each row of x in each table, as integers."""
     return np.stack([(((x - m) @ p) >= 0) @ (1 << np.arange(p.shape[1], dtype=np.int64)) for m, p in learned], axis=1)
@@ -163,13 +199,19 @@ def _blocks(x, cx, ix, nx, y, cy, iy, ny, same: bool, t: int, threshold: float,
                         gain[v] = gain.get(v, 0) + int(total[k])
 
 
+def _numbered(rows: pa.Table) -> np.ndarray:
+    """The labels of some rows as numbers."""
+    return rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _links(batches: Iterator[pa.RecordBatch], threshold: float, part: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group (bucket and pair of parts) to (a, -1, links of a) and forest edges (a, b, 0).
 
     A group waits until its last row: at most 2 * part rows, more only by chance of the hash.
     """
     def finished(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        d = {n: rows.column(n).to_numpy() for n in ("rep", "copies", "label", "t", "code", "part", "low", "high")}
+        d = {n: rows.column(n).to_numpy() for n in ("rep", "copies", "t", "code", "part", "low", "high")}
+        d["label"] = _numbered(rows)
         x, _ = _unit(rows.column("embedding").to_pylist())
         codes = rows.column("codes").combine_chunks().values.to_numpy().reshape(len(x), -1)
         key = np.stack([d[n] for n in ("label", "t", "code", "low", "high")], axis=1)
@@ -205,7 +247,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float, part: int) -> It
         if held < 2 * part:
             continue
         rows = pa.concat_tables(waiting)
-        key = np.stack([rows.column(n).to_numpy() for n in ("label", "t", "code", "low", "high")], axis=1)
+        key = np.stack([_numbered(rows), *(rows.column(n).to_numpy() for n in ("t", "code", "low", "high"))], axis=1)
         last = np.flatnonzero((key != key[-1]).any(axis=1))
         if not len(last):
             waiting = [rows]
@@ -217,13 +259,14 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float, part: int) -> It
         yield from finished(pa.concat_tables(waiting))
 
 
-def _found(classes: DataFrame, dim: int, most: int, threshold: float, miss: float, bits: int | None, sample: int, part: int) -> DataFrame:
-    """Links and forest edges (see _links) among classes of one dimension; most: the classes of the largest label."""
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded by sample
+def _found(classes: DataFrame, rows: int, pairs: float, threshold: float, miss: float, bits: int | None, sample: int, part: int) -> DataFrame:
+    """Links and forest edges (see _links) among classes of one dimension, so many with so many pairs of one label."""
+    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding", "label").collect()  # bounded by sample
     x, _ = _unit([r[0] for r in drawn])
-    width = min(dim, bits or max(6, math.ceil(math.log2(max(2, most) / 64))))
-    learned = learn_tables(x, tables_needed(x, width, threshold, miss), width)
-    coded = stored(classes.select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label long, embedding array<double>, copies long, codes array<long>"))
+    label = np.array([r[1] for r in drawn])
+    width, tables = plan_codes(x, label, rows, pairs, threshold, miss, bits)
+    learned = learn_tables(x, tables, width)
+    coded = stored(classes.select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label string, embedding array<double>, copies long, codes array<long>"))
     bucket = ["label", "t", "code"]
     large = stored(coded.select("label", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part))
     placed = coded.select("rep", "label", "copies", "embedding", "codes", F.posexplode("codes").alias("t", "code")).join(large, bucket, "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / part), F.lit(1)))
@@ -239,25 +282,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
 
     Only vectors of one label are compared. Null, zero, empty or non-finite vectors and null labels link with
     nothing. Vectors are compared with those of their own dimension. Rows with a null id or that share one are
-    returned; a null id links with nothing. Other columns are not read.
+    returned; a null id links with nothing. Equal vectors link at any threshold and count as links of each other.
+    An empty table gives an empty one. Other columns are not read, whatever their names.
 
-    bits grows by one where the vectors of a label double, for buckets of about 64; how many bits of a pair at the
-    threshold differ is measured on the sample, and the number of tables is the least that misses it with
-    probability ``miss``. A bucket of more than ``part`` vectors is dealt in parts by a hash, and
-    pairs of parts are compared, so that no task gathers a bucket.
+    Bits and tables are the cheapest that miss a link with probability ``miss``, measured on the sample (plan_codes);
+    ``bits`` fixes the width. A bucket of more than ``part`` vectors is dealt in parts by a hash, and pairs of parts
+    are compared, so that no task gathers a bucket.
     """
     ready_workers(vectors.sparkSession, 4096)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    key = F.xxhash64("label", F.transform("embedding", lambda v: v + 0.0))  # -0.0 and 0.0 alike
-    keyed = good.withColumn("key", key)
-    classes = stored(keyed.groupBy("label", "key").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))).select("label", "key", "copies", F.col("first.vec_id").alias("rep"), F.col("first.embedding").alias("embedding"))
-    ids = keyed.select("vec_id", "label", "key")
-    same = stored(ids.join(classes.select("label", "key", "rep", "copies"), ["label", "key"]).select("vec_id", "rep", "copies"))
+    good = good.withColumn("embedding", F.transform("embedding", lambda v: v + 0.0))  # -0.0 and 0.0 alike
+    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    several = classes.where("copies > 1")
+    same = good.join(several.select("label", "embedding", "rep", "copies"), ["label", "embedding"]).select("vec_id", "rep", "copies")
+    same = stored(same.unionByName(classes.where("copies = 1").select(F.col("rep").alias("vec_id"), "rep", "copies")))
     # vectors of different dimensions have no cosine: each dimension has its own rotations and tables
-    dims = classes.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("most")).where("most > 1").orderBy("dim").collect()
-    each = [_found(classes.where(F.size("embedding") == dim), dim, most, threshold, miss, bits, sample, part) for dim, most in dims]
+    n = F.col("n").cast("double")
+    dims = classes.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.sum("n").alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).where("pairs > 0").orderBy("dim").collect()
+    each = [_found(classes.where(F.size("embedding") == r["dim"]), r["rows"], r["pairs"], threshold, miss, bits, sample, part) for r in dims]
     if each:
         found = reduce(DataFrame.unionByName, each)
         links = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from loomgraph.llm.embedding_dedup import near_vectors
 
@@ -77,3 +80,40 @@ def test_each_dimension_is_linked(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
     assert got == brute(each[0]) | brute(each[1])
     assert all(n >= 1 for n, _ in got.values())
+
+
+def test_two_vectors_and_dense_groups_equal_brute_force(spark):
+    """Two vectors alone lie on both sides of their mean; links about a common mean may differ in half of their bits."""
+    v = np.random.default_rng(0).standard_normal(32)
+    rows = [(0, v.tolist(), 0), (1, (v + 1e-3).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()} == brute(rows) == {0: (1, 0), 1: (1, 0)}
+    rng = np.random.default_rng(1)
+    mean = rng.standard_normal(64)
+    rows = [(i, (mean + 0.13 * rng.standard_normal(64)).tolist(), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    assert sum(n for n, _ in want.values()) > 50_000
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()} == want
+    found = sum(r["n_links"] for r in near_vectors(df, bits=6).collect())
+    assert found >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_recall_of_queries_against_all_rows(spark):
+    """Every row whose id is divisible by 100, against all: links found and links there are."""
+    import duckdb
+
+    path = "/root/testdata/check_s/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("without the larger tables")
+    want = duckdb.sql(f"""select a.vec_id, count(*) from '{path}/*.parquet' a join '{path}/*.parquet' b on a.label = b.label and a.vec_id <> b.vec_id
+        where a.vec_id % 100 = 0 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.98 group by 1""").fetchall()
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.read.parquet(path)).collect()}
+    assert sum(n for _, n in want) > 0
+    assert sum(got[i] for i, _ in want) >= 0.999 * sum(n for _, n in want)
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x"), (3, [1.0, 0.0], "y"), (4, [1.0, 0.0], None)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
