@@ -2,18 +2,19 @@
 
 Patterns give base spans (email, ip, card, phone); these always stay. The field looks at what the patterns
 leave: runs of digits and written-out addresses. Each candidate and base span of a document is a node. Node
-potentials are a softmax over shape features, trained on base spans of a bounded sample with their tell-tale
-features masked at random; neighbours in the text share chain potentials; tokens that repeat or resemble each
-other (equal digits, or one number ending with the other) share skip potentials, however far apart. Loopy belief
-propagation over each document makes equal tokens agree: a phone number that is written once with its prefix is
-found where it is written without. A candidate whose marginal for a kind is high enough becomes a span.
+potentials are a softmax over shape features; neighbours in the text share chain potentials; tokens that repeat or
+resemble each other (equal digits, or one number ending with the other) share skip potentials, however far apart.
+All three are learned together from the base labels of all texts, by pseudo-likelihood: a node's label given its
+features, the label before it and the label of a token like it, also with its tell-tale features masked. Loopy
+belief propagation over each document makes equal tokens agree: a phone number that is written once with its
+prefix is found where it is written without. A candidate whose marginal for a kind is high enough becomes a span.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -38,9 +39,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _RUN = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}(?![A-Za-z0-9])").finditer
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]+)+").finditer
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: Log-potential of agreement on a skip edge, least marginal of a span, rounds of message passing.
+#: Log-potential of agreement on a skip edge before anything is learned, least marginal of a span, rounds of message passing.
 SKIP, SURE, ROUNDS = 4.0, 0.9, 12
-SAMPLE = 4000
 
 
 def luhn(digits: str) -> bool:
@@ -107,23 +107,44 @@ def features(text: str, s: int, e: int) -> np.ndarray:
     return x
 
 
-#: Features that give a kind away: masked at random in training, so that the others get weight too.
-_TELLS = np.array([1, 3, 5, 7])
+#: Features that give a kind away: masked in training too, so that the others get weight.
+_TELLS = (1, 3, 5, 7)
+#: Stands for no label where there is no node before, or none like it.
+NONE = len(LABELS)
+_BITS = 1 << np.arange(FEATURES)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> np.ndarray:
-    """Softmax weights (features x labels) by gradient descent."""
-    w = np.zeros((FEATURES, len(LABELS)))
-    if len(y):
-        hot = np.eye(len(LABELS))[y]
-        share = 1 / np.maximum(1, np.bincount(y, minlength=len(LABELS)))[y]
-        share = share / share.sum()
-        for _ in range(rounds):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w -= 1.0 * (x.T @ ((p - hot) * share[:, None]) + l2 * w)
-    return w
+def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Node weights (features x labels), chain potentials (labels x labels) and the skip potential of agreement.
+
+    codes, n: how often each example occurs (see _examples). Gradient descent on the pseudo-likelihood, every label
+    with the same total weight; the chain is held near 0 and the skip potential near SKIP where little is known. A
+    candidate that is like a base span is no example: patterns left it out, but it may well be of that kind.
+    """
+    k = len(LABELS)
+    w, chain, skip = np.zeros((FEATURES, k)), np.zeros((k + 1, k)), SKIP
+    y, before, like = codes >> FEATURES & 7, codes >> (FEATURES + 3) & 7, codes >> (FEATURES + 6) & 7
+    keep = (y != OTHER) | (like == NONE) | (like == OTHER)
+    codes, n, y, before, like = codes[keep], n[keep].astype(float), y[keep], before[keep], like[keep]
+    if not len(y):
+        return w, chain[:k], skip
+    masks = [sum(1 << t for i, t in enumerate(_TELLS) if m >> i & 1) for m in range(1 << len(_TELLS))]
+    shape = np.concatenate([codes & ~mask for mask in [0, *masks]]) & ((1 << FEATURES) - 1)
+    weight = np.concatenate([n, *[n / len(masks)] * len(masks)])
+    y, before, like = (np.tile(v, 1 + len(masks)) for v in (y, before, like))
+    x, hot, last = (shape[:, None] & _BITS > 0).astype(float), np.eye(k)[y], np.eye(k + 1)[before]
+    agree = np.eye(k + 1)[like][:, :k]
+    share = weight / np.maximum(1e-9, np.bincount(y, weight, k))[y]
+    share /= share.sum()
+    for _ in range(rounds):
+        z = x @ w + last @ chain + skip * agree
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        off = (p - hot) * share[:, None]
+        w -= x.T @ off + l2 * w
+        chain -= last.T @ off + 0.1 * chain
+        skip -= float((off * agree).sum()) + l2 * (skip - SKIP)
+    return w, chain[:k], skip
 
 
 def edges(keys: list[str]) -> list[tuple[int, int]]:
@@ -175,11 +196,20 @@ def marginals(node: np.ndarray, fixed: np.ndarray, chain: np.ndarray, skips: lis
     return m / m.sum(axis=1, keepdims=True)
 
 
+def keys_of(text: str, nodes: list[tuple[int, int, int]]) -> list[str]:
+    """What tells whether two tokens are alike: digits, or an address with its signs written out put back."""
+    out = []
+    for s, e, _ in nodes:
+        low = re.sub(r"\s*[(\[]at[)\]]\s*", "@", re.sub(r"\s*[(\[]dot[)\]]\s*", ".", text[s:e].lower()))
+        out.append(low if "@" in low else _NOT_DIGIT.sub("", low))
+    return out
+
+
 class Field:
-    """Trained potentials: node weights (features x labels) and chain potentials (labels x labels)."""
+    """Trained potentials: node weights (features x labels), chain (labels x labels) and agreement of like tokens."""
 
-    def __init__(self, weights: np.ndarray, chain: np.ndarray):
-        self.weights, self.chain = weights, chain
+    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: float = SKIP):
+        self.weights, self.chain, self.skip = weights, chain, skip
 
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and all spans, of a text; null and empty texts have none."""
@@ -190,52 +220,37 @@ class Field:
         if not more:
             return base, base
         nodes = sorted([(s, e, k) for s, e, k in base] + [(s, e, -1) for s, e in more])
-        keys = []
-        for s, e, _ in nodes:
-            t = text[s:e]
-            low = re.sub(r"\s*[(\[]at[)\]]\s*", "@", re.sub(r"\s*[(\[]dot[)\]]\s*", ".", t.lower()))
-            keys.append(low if "@" in low else _NOT_DIGIT.sub("", t))
         x = np.stack([features(text, s, e) for s, e, _ in nodes])
-        m = marginals(x @ self.weights, np.array([k for *_, k in nodes]), self.chain, edges(keys))
+        m = marginals(x @ self.weights, np.array([k for *_, k in nodes]), self.chain, edges(keys_of(text, nodes)), self.skip)
         added = [(s, e, int(p.argmax())) for (s, e, k), p in zip(nodes, m, strict=True) if k < 0 and p.argmax() != OTHER and p.max() >= SURE]
         return base, sorted(base + added, key=lambda v: (v[0], v[2]))
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to training nodes: (label, label of the node before or -1, features)."""
+    """Texts to training nodes as (code, n): features, label, label before and label of an earlier token alike, packed."""
+    seen: Counter[int] = Counter()
     for batch in batches:
-        y, before, x = [], [], []
         for text in batch.column(0).to_pylist():
             base = base_spans(text or "")
-            last = -1
-            for s, e, k in sorted([*base, *((s, e, OTHER) for s, e in candidates(text or "", base))])[:50]:
-                y.append(k)
-                before.append(last)
-                x.append(features(text, s, e))
+            nodes = sorted([*base, *((s, e, OTHER) for s, e in candidates(text or "", base))])
+            like = dict.fromkeys(range(len(nodes)), NONE) | {j: nodes[i][2] for i, j in edges(keys_of(text or "", nodes))}
+            last = NONE
+            for i, (s, e, k) in enumerate(nodes):
+                seen[int(features(text, s, e) @ _BITS) | k << FEATURES | last << (FEATURES + 3) | like[i] << (FEATURES + 6)] += 1
                 last = k
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(before, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "before", "x"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
+
 
+def train(docs: DataFrame) -> Field:
+    """Potentials from docs(text), from the base labels of all texts.
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Potentials from docs(text): the base labels of a hash sample of about ``sample`` texts with a digit or @."""
+    Only counts of packed examples come to the driver: their number is bounded by what features and labels can be,
+    not by the texts. Null and empty texts have no examples; an empty table gives a field that finds base spans only.
+    """
     ready_workers(docs.sparkSession)
     likely = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    n = likely.count()
-    drawn = likely.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30))
-    got = drawn.mapInArrow(_examples, "y int, before int, x array<double>").limit(50 * sample).toArrow()
-    y, before = (np.array(got.column(i).to_pylist(), np.int64) for i in (0, 1))
-    x = np.array(got.column(2).to_pylist(), float).reshape(-1, FEATURES)
-    order = np.lexsort([*x.T, before, y])  # rows arrive in any order
-    x, y, before = x[order], y[order], before[order]
-    masked = x.copy()
-    rng = np.random.default_rng(4)
-    masked[:, _TELLS] *= rng.random((len(x), len(_TELLS))) < 0.5
-    weights = fit(np.concatenate([x, masked]), np.concatenate([y, y]))
-    seen = np.full((len(LABELS), len(LABELS)), 1.0)
-    np.add.at(seen, (before[before >= 0], y[before >= 0]), 1)
-    joint = seen / seen.sum()
-    chain = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
-    return Field(weights, np.clip(chain, -1, 1))
+    got = likely.mapInArrow(_examples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    return Field(*fit(got.column("code").to_numpy().astype(np.int64), got.column("n").to_numpy()))
 
 
 def _line(spans: list[tuple[int, int, int]]) -> str:
@@ -281,6 +296,10 @@ def _masked(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
 
 
 def mask(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with every span of the text replaced by its kind, like <EMAIL>; overlapping spans by the first's."""
+    """docs with every span of the text replaced by its kind, like <EMAIL>; overlapping spans by the first's.
+
+    Null texts stay null and empty ones empty; rows are independent, other columns pass through, an empty table gives
+    an empty one.
+    """
     ready_workers(docs.sparkSession)
     return docs.mapInArrow(partial(_masked, field=field), docs.schema)

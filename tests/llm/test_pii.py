@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from loomgraph.llm.pii import KINDS, base_spans, edges, find, luhn, mask, train
+from loomgraph.llm.pii import KINDS, SKIP, _examples, base_spans, edges, find, luhn, marginals, mask, train
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -73,3 +77,41 @@ def test_odd_rows(odd, empty, field):
     assert find(empty, field).count() == 0
     assert mask(odd, field).count() == odd.count()
     assert train(empty).spans("a@b.co")[0] == [(0, 6, 0)]
+
+
+def test_potentials_are_learned_from_all_texts(spark):
+    text = "call +1 555 123 4567 or x@y.com, card 4111 1111 1111 1111, host 10.0.0.1, id 12345678; again +1 555 123 4567 and 12345678"
+    many = spark.createDataFrame([(text,)] * 300, "text string")
+    got = train(many)
+    again = train(many.repartition(5))
+    assert (got.weights == again.weights).all() and (got.chain == again.chain).all() and got.skip == again.skip
+    assert got.skip != SKIP and abs(got.chain).max() > 0
+    # repeated numbers that never agree weaken the skip potential
+    mixed = spark.createDataFrame([("+4111 1111 1111 111 1 then 4111 1111 1111 1111",)] * 300, "text string")
+    assert train(mixed).skip < got.skip
+    # a text of many nodes counts with all of them
+    long = "id 12345678, " * 500 + "mail a@b.co"
+    counts = Counter()
+    for batch in _examples(iter([pa.RecordBatch.from_arrays([pa.array([long])], ["text"])])):
+        counts.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    assert sum(counts.values()) == 501
+
+
+def test_marginals_equal_brute_force():
+    """On a chain and on one loop, against sums over all labellings (exact on the chain)."""
+    rng = np.random.default_rng(0)
+    node, chain = rng.normal(size=(4, 5)), rng.normal(size=(5, 5)) * 0.3
+
+    def brute_marginals(skips, fixed):
+        total = np.zeros((4, 5))
+        for y in itertools.product(range(5), repeat=4):
+            if all(f in (-1, v) for f, v in zip(fixed, y, strict=True)):
+                score = sum(node[i, v] for i, v in enumerate(y) if fixed[i] < 0) + sum(chain[y[i], y[i + 1]] for i in range(3)) + sum(1.5 * (y[i] == y[j]) for i, j in skips)
+                for i, v in enumerate(y):
+                    total[i, v] += np.exp(score)
+        return total / total.sum(axis=1, keepdims=True)
+
+    free = np.array([-1, -1, -1, -1])
+    assert np.allclose(marginals(node, free, chain, [], rounds=40), brute_marginals([], free), atol=1e-6)
+    fixed = np.array([2, -1, -1, -1])
+    assert np.abs(marginals(node, fixed, chain, [(0, 3)], 1.5, 60) - brute_marginals([(0, 3)], fixed)).max() < 0.05
