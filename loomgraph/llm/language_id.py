@@ -15,9 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers
+from loomgraph.llm.common import ready_workers, stored
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -31,7 +32,7 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 BITS = 13
-#: Training rows: at most about this many in all, spread evenly over the languages.
+#: Training texts: at most this many in all, spread evenly over the languages, 20 of each at least.
 SAMPLE = 2000
 #: Most languages.
 MAX_LANGUAGES = 200
@@ -162,21 +163,38 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"])
 
 
+def sampled(rows: DataFrame, quota: int) -> DataFrame:
+    """(lang, text): for each language of rows(lang, text) the quota distinct texts of least hash, fewer if it has fewer.
+
+    Hashes are counted and ranked, texts stay where they are: a language's rank looks at no more than about 8 * quota
+    hashes, since a threshold on them is set from its number of distinct texts. Copies of a text count once.
+    """
+    hashed = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1).alias("h"))
+    distinct = stored(hashed.distinct())
+    upto = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.when(F.col("n") > 8 * quota, 4.0 * quota / F.col("n")).otherwise(1.0))
+    few = distinct.join(F.broadcast(upto.select("lang", "upto")), "lang").where(F.col("h") <= F.col("upto") * float((1 << 63) - 1))  # one row a language
+    chosen = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("place") <= quota).select("lang", "h")
+    chosen = F.broadcast(stored(chosen))  # at most quota * languages rows of two short columns
+    return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)).join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on docs(text, lang): a hash sample of about sample / languages texts of each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
+    """Fit on docs(text, lang): sample / languages distinct texts of each language (20 at least), or all it has.
+
+    A language is learned if one of its texts has a letter. Null languages and null texts teach nothing; an empty
+    table gives a model without languages. What is drawn rests on the texts alone, not on the order of rows.
+    """
+    ready_workers(docs.sparkSession)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text")
+    counts = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if counts > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model([], {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    quota = max(20, sample // len(counts))
-    part = F.lit(None).cast("double")
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, quota / r["n"])).otherwise(part)
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < part * (1 << 30))
-    got = drawn.mapInArrow(_features, "lang string, at array<int>, value array<float>").limit(3 * sample + 20 * len(counts)).toArrow()
-    return fit([(lang, np.array(a), np.array(v)) for lang, a, v in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)])
+    drawn = sampled(rows, max(20, sample // counts))
+    got = drawn.mapInArrow(_features, "lang string, at array<int>, value array<float>").toArrow()
+    rows = [(lang, np.array(a), np.array(v)) for lang, a, v in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
+    return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,51 @@ def test_families_and_odd_rows(odd, empty):
     assert len(language_id.grams("12 345")) == 0
 
 
+def test_a_language_of_few_texts_and_many_copies_is_learned(spark):
+    english = ["the house is big and the dog is here", "we are going to the market now", "this is what they said to him", "she has been there with her friends", "all of you should come with us"]
+    german = [f"das Haus Nummer {i} ist nicht so klein und der Hund {'x' * (i % 7)} schläft dort" for i in range(300)]
+    french = [f"la maison {'y' * (i % 5)} est grande et le chien {i} dort dans la rue avec nous" for i in range(300)]
+    rows = [(english[i % 5], "en") for i in range(20_000)] + [(t, "de") for t in german] + [(t, "fr") for t in french]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    drawn = language_id.sampled(docs, 20)
+    assert {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()} == {"en": 5, "de": 20, "fr": 20}
+    model = language_id.train(docs)
+    assert sorted(sum(model.langs.values(), [])) == ["de", "en", "fr"]
+    assert [model.predict(t)[0] for t in (english[0], german[7], french[9])] == ["en", "de", "fr"]
+    again = language_id.train(docs.repartition(3))
+    assert (again.weights == model.weights).all()
+
+
+def test_predictions_equal_a_plain_scorer(spark, sf):
+    """Margins summed gram by gram in plain Python over the fitted weights, families first, then votes of pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        letters = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        padded = " " + " ".join(letters.split()) + " "
+        grams = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " " or 0 < i < len(padded) - 1]
+
+        def bucket(g):
+            h = 0
+            mul = {2: (0x5BD1E995, 0x85EBCA6B), 3: (0x1B873593, 0xC2B2AE35)}
+            for k, c in enumerate(g):
+                one = ord(c) * 0x9E3779B1 & 0xFFFFFFFF
+                h = one if k == 0 else ((h ^ mul[k + 1][0]) * mul[k + 1][1] + one) & 0xFFFFFFFF
+            return (h * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - language_id.BITS)
+
+        if not letters.strip():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        margin = [sum(float(model.weights[bucket(g)][c]) for g in grams) / len(grams) + model.bias[c] for c in range(model.weights.shape[1])]
+        family = max(range(len(model.families)), key=lambda f: margin[f]) if len(model.families) > 1 else 0
+        votes = dict.fromkeys(model.langs[model.families[family]], 0)
+        for k, (a, b) in enumerate(model.pairs):
+            if a in votes:
+                votes[a if margin[(len(model.families) if len(model.families) > 1 else 0) + k] >= 0 else b] += 1
+        assert votes[got[r["doc_id"]]["lang_pred"]] == max(votes.values())
+
+
 def test_toxic_held_out_texts(spark):
     got = QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     rows = [(r["held_out"], r["toxic"], r["predicted"], r["score"]) for r in got.collect()]
