@@ -37,6 +37,8 @@ _WORD = re.compile(r"[^\W\d_]+").findall
 _MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*_.\-]++[^\W\d_]++)++").findall
 NEAR = 4
 SAMPLE, LEARNED = 20_000, 200
+#: One labelled row in HOLD only calibrates: neither the lexicon nor the trees learn from it.
+HOLD = 4
 FEATURES = 13
 
 
@@ -71,14 +73,14 @@ _NO_MARKS = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿"))
 class Boosted:
     """Trees of depth ``depth`` on histogram bins under logistic loss, then isotonic regression of the margin."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, l2: float = 5.0, least: int = 10, hold: int = 4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, out: np.ndarray | None = None, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, l2: float = 5.0, least: int = 10):
         self.depth, self.trees, self.base = depth, [], 0.0
         self.curve = (np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
         if not len(y):
             self.curve = (np.array([0.0]), np.array([0.0]))
             return
-        # one row in ``hold`` is kept out of the trees for calibration
-        out = np.arange(len(y)) % hold == hold - 1
+        # rows that the trees don't see, for calibration; one in HOLD unless the caller says which
+        out = np.arange(len(y)) % HOLD == HOLD - 1 if out is None else out
         fit = ~out if 0 < y[~out].sum() < (~out).sum() else np.ones(len(y), bool)
         edges = [np.unique(np.quantile(x[fit, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
         b = np.stack([np.searchsorted(e, x[fit, f], "left") for f, e in enumerate(edges)], axis=1)
@@ -182,7 +184,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEARNED, least: int = 8) -> dict[
 def _featured(batches: Iterator[pa.RecordBatch], learned: dict[str, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(t, learned) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "held", "x"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], learned: dict[str, float], model: Boosted) -> Iterator[pa.RecordBatch]:
@@ -194,26 +196,28 @@ def _scored(batches: Iterator[pa.RecordBatch], learned: dict[str, float], model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], Boosted]:
     """Lexicon and trees from docs(doc_id, text) and labels(doc_id, toxic): at most ``sample`` labelled rows.
 
-    Labels other than 0 and 1, and null ids, are left out; an id labelled twice counts as toxic if any label is.
+    A quarter of them, by hash of the id, only calibrates. Labels other than 0 and 1, and null ids, are left out; an
+    id labelled twice counts as toxic if any label is; rows that share an id all count; without labels every score is 0.
     """
     ready_workers(docs.sparkSession)
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = F.broadcast(ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample))  # bounded by sample
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
-    learned = learn_lexicon(rows)
-    got = rows.mapInArrow(partial(_featured, learned=learned), "toxic int, x array<double>").toArrow()
-    y = np.array(got.column(0).to_pylist(), float)
-    x = np.array(got.column(1).to_pylist(), float).reshape(-1, FEATURES)
-    order = np.lexsort([*x.T, y])  # the order that rows arrive in doesn't matter
-    mixed = order[np.argsort((np.arange(len(order), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11), kind="stable")]
-    return learned, Boosted(x[mixed], y[mixed])
+    held = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(HOLD)) == 0
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text", held.alias("held"))
+    learned = learn_lexicon(rows.where("not held").select("toxic", "text"))
+    got = rows.mapInArrow(partial(_featured, learned=learned), "toxic int, held boolean, x array<double>").toArrow()
+    y, held = (np.array(got.column(i).to_pylist(), float) for i in (0, 1))
+    x = np.array(got.column(2).to_pylist(), float).reshape(-1, FEATURES)
+    order = np.lexsort([*x.T, y, held])  # the order that rows arrive in doesn't matter
+    return learned, Boosted(x[order], y[order], held[order] > 0)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], Boosted]) -> DataFrame:
     """docs(doc_id, ..., text) without the text, with toxicity: the calibrated probability of label 1.
 
-    Null and empty texts have features of 0 and get the score of such. Rows are independent; an empty table gives
-    an empty one.
+    Null and empty texts have features of 0 and get the score of such. Whole texts are read, at a cost linear in their
+    length. Rows are independent: repeated rows get equal scores; an empty table gives an empty one; a column of docs
+    called toxicity is replaced, all others pass through.
     """
     ready_workers(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("text", "toxicity")]

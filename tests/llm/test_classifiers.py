@@ -79,6 +79,29 @@ def test_toxic_held_out_texts(spark):
     assert sum(p for t, p in held if not t) <= 0.01 * sum(1 - t for t, _ in held)
 
 
+def test_rows_that_calibrate_teach_neither_words_nor_trees(spark):
+    """A word that only held rows have is not learned; scores equal a plain walk down the trees and the curve."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(800).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(toxicity.HOLD)) == 0).alias("held"), (F.col("id") % 2).cast("int").alias("toxic"))
+    bad = F.when(F.col("held"), F.lit("heldword")).otherwise(F.lit("trainword"))
+    docs = ids.select("doc_id", F.concat(F.lit("some plain words "), F.col("doc_id").cast("string"), F.when(F.col("toxic") == 1, F.concat(F.lit(" "), bad, F.lit("! !"))).otherwise(F.lit(""))).alias("text"))
+    learned, model = toxicity.train(docs, ids.select("doc_id", "toxic"))
+    assert set(learned) == {"trainword"}
+    for text in ("some plain words", "you trainword! !", "IDIOT you", None, ""):
+        x = toxicity.features(text, learned)
+        margin = model.base
+        for splits, leaf in model.trees:
+            node = 0
+            for f, c in splits:
+                node = 2 * node + int(x[f[node]] > c[node])
+            margin += leaf[node]
+        at, value = model.curve
+        want = value[0] if margin <= at[0] else value[-1] if margin >= at[-1] else next(value[i] + (value[i + 1] - value[i]) * (margin - at[i]) / (at[i + 1] - at[i]) for i in range(len(at) - 1) if at[i] <= margin <= at[i + 1])
+        got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), (learned, model)).first()["toxicity"]
+        assert abs(got - want) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (8, 0), (8, 1), (None, 1), (9, 2)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
