@@ -1,37 +1,41 @@
 """Language-model scoring with a probabilistic suffix tree over the bytes of texts.
 
 Counting covers all training texts: each task counts its (DEPTH + 1)-byte windows and its words by vectorised
-sorting, and sums meet in a shuffle, so what is gathered grows with the corpus. A context becomes a state if it
-is frequent (a share of the corpus, which bounds the number of states whatever the corpus's size) and its
-next-byte distribution diverges from its parent's; suffixes of states are states. Distributions are smoothed
-from the shorter contexts down to a uniform one (Witten-Bell). A text's bytes are scored by their longest state,
-and each word's probability is mixed with its share of the corpus: a frequent word's in the task itself, any
-other's by a join.
+sorting, and sums meet in a shuffle. A context of up to DEPTH bytes becomes a state if it was seen LEAST times and
+its next-byte distribution diverges from its parent's by GAIN; suffixes of states are states. Both bounds are fixed
+numbers, so a larger corpus keeps more states. Distributions are smoothed from the shorter contexts down to a
+uniform one (Witten-Bell). Smoothing, divergence tests and pruning are joins, level by level: nothing but finished
+states leaves the executors. A text's score is the sum of its bytes' log10 probabilities, each given the longest
+state before it.
+
+A tree of at most BROADCAST entries (16 bytes each on the way, 24 in a worker) is sent to the workers; a larger one
+stays distributed, and the windows of texts are joined with it. Both ways give the same scores.
 
 Texts are scored in normal form: A-Z in lower case, words joined by single spaces, then an end symbol.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import ready_workers, stored
-from loomgraph.llm.words import mix, word_hashes
+from loomgraph.llm.words import word_hashes
 
 _U = np.uint64
 DEPTH = 5  # bytes of context at most; codes of windows fit 48 bits
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't have
-#: A state's context makes up at least this share of the corpus: at most DEPTH / SHARE states.
-SHARE = 1e-6
-#: Least gain, in nats over its whole count, of a state over its parent.
-GAIN = 6.0
+#: A state's context was seen so often at least, and gains so many nats over its parent over its whole count.
+LEAST, GAIN = 32, 6.0
+#: States and arcs that are broadcast at most.
+BROADCAST = 4_000_000
 #: Words whose counts travel to all workers; rarer ones are looked up by a join.
 FREQUENT = 1 << 17
 #: Bytes counted between two reductions of a task, and distinct windows after which it hands on.
@@ -128,37 +132,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lookup:
-    """Open-addressing table from 48-bit keys to rows, for many keys at once."""
+    """Open-addressing table from 63-bit keys to single-precision values, for many keys at once."""
 
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.row = np.zeros(1 << self.bits, np.int32)
-        left, rows = keys.view(np.int64), np.arange(len(keys), dtype=np.int32)
+        self.value = np.full(1 << self.bits, np.nan, np.float32)
+        left, values = keys.view(np.int64), values.astype(np.float32)
         at = self._home(keys)
         while len(left):
             free = self.slots[at] == -1
             self.slots[at[free]] = left[free]
-            self.row[at[free]] = rows[free]
             lost = self.slots[at] != left  # two keys may have asked for one slot
-            self.row[at[~lost]] = rows[~lost]
-            left, rows, at = left[lost], rows[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+            self.value[at[~lost]] = values[~lost]
+            left, values, at = left[lost], values[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 if it isn't there."""
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN if it isn't there."""
         want, at = keys.view(np.int64), self._home(keys)
         got = self.slots[at]
-        out = np.where(got == want, self.row[at], -1).astype(np.int32)
+        out = np.where(got == want, self.value[at], np.float32(np.nan))
         left = np.flatnonzero((got != want) & (got != -1))
         at = at[left]
         while len(left):
             at = (at + 1) & ((1 << self.bits) - 1)
             got = self.slots[at]
             hit = got == want[left]
-            out[left[hit]] = self.row[at[hit]]
+            out[left[hit]] = self.value[at[hit]]
             on = ~hit & (got != -1)
             left, at = left[on], at[on]
         return out
@@ -169,17 +172,17 @@ def _tag(codes: np.ndarray, length: int) -> np.ndarray:
     return codes | _U((length + 1) << 49)
 
 
-class Tree:
-    """States with smoothed next-byte distributions.
+def _tagged(code: Column, length: int) -> Column:
+    """The same as _tag of the last length bytes of a code, as a column."""
+    return code.bitwiseAND(F.lit((1 << 8 * length) - 1)).bitwiseOR(F.lit((length + 1) << 49))
 
-    contexts and backoff: the states (tagged codes) with the log10 weight of what they have not seen; arcs and
-    logp: the seen (context, byte) with the log10 probability.
-    """
 
-    def __init__(self, contexts: np.ndarray, backoff: np.ndarray, arcs: np.ndarray, logp: np.ndarray):
-        self.arrays = (contexts, backoff, arcs, logp)
-        self.states, self.backoff = Lookup(contexts), backoff
-        self.arcs, self.logp = Lookup(arcs), logp
+class Tree:
+    """States with smoothed next-byte distributions: states (tagged contexts) with the log10 weight of what they have
+    not seen; arcs (tagged windows) with the log10 probability of their last byte."""
+
+    def __init__(self, states: np.ndarray, weight: np.ndarray, arcs: np.ndarray, logp: np.ndarray):
+        self.states, self.arcs = Lookup(states, weight), Lookup(arcs, logp)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each window given the longest state before it."""
@@ -189,106 +192,98 @@ class Tree:
             if not len(left):
                 break
             c = codes[left] & _U((1 << 8 * (d + 1)) - 1)
-            row = self.arcs.rows(_tag(c, d + 1))
-            hit = row >= 0
-            out[left[hit]] += self.logp[row[hit]]
+            logp = self.arcs.get(_tag(c, d + 1))
+            hit = ~np.isnan(logp)
+            out[left[hit]] += logp[hit]
             left, c = left[~hit], c[~hit]
-            state = self.states.rows(_tag(c >> _U(8), d))
-            known = state >= 0
-            out[left[known]] += self.backoff[state[known]]
+            weight = self.states.get(_tag(c >> _U(8), d))
+            known = ~np.isnan(weight)
+            out[left[known]] += weight[known]
         out[left] += -np.log10(256.0)
         return out
 
 
-def build(gram_counts: DataFrame, share: float = SHARE, gain: float = GAIN) -> Tree:
-    """The tree from gram_counts(key, n) of all windows. Frequent contexts (at most DEPTH / share) go to the driver."""
-    total = gram_counts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return Tree(np.zeros(0, _U), np.zeros(0), np.zeros(0, _U), np.zeros(0))
+def build(gram_counts: DataFrame, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
+    """(states(key, value), arcs(key, value)) of the tree, from gram_counts(key, n) of all windows: see Tree."""
     levels = [F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")) for d in range(DEPTH + 1)]
-    arcs = stored(gram_counts.select("n", F.explode(F.array(*levels)).alias("a")).groupBy("a.d", "a.code").agg(F.sum("n").alias("n")))
-    contexts = arcs.groupBy("d", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("kinds")).where(F.col("t") >= max(2.0, share * total))
-    frequent = arcs.withColumn("context", F.shiftright("code", 8)).join(contexts, ["d", "context"]).select("d", "code", "n", "t", "kinds").toArrow()
-    d, code, n, t, kinds = (frequent.column(c).to_numpy() for c in ("d", "code", "n", "t", "kinds"))
-    order = np.lexsort((code, d))
-    d, code, n, t, kinds = (v[order] for v in (d, code, n, t, kinds))
-    code = code.astype(np.int64).view(_U)
-    known_c, known_b, known_a, known_p = [], [], [], []
-    lower: Tree | None = None
-    kept_below: list[tuple[np.ndarray, np.ndarray]] = []  # per depth: contexts and whether they diverge
-    per = []
-    for k in range(DEPTH + 1):
-        at = d == k
-        c, m, whole, kind = code[at], n[at].astype(float), t[at].astype(float), kinds[at].astype(float)
-        parent = 10.0 ** lower.score(c & _U((1 << 8 * k) - 1)) if lower is not None else np.full(len(c), 1 / 256)
-        p = (m + kind * parent) / (whole + kind)
-        context = c >> _U(8)
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(c) else np.zeros(0, np.int64)
-        worth = np.add.reduceat(m * np.log(p / parent), first) >= gain if len(c) else np.zeros(0, bool)
-        if k == 0:
-            worth[:] = True
-        per.append((context[first], worth, c, p, kind[first] / (whole[first] + kind[first])))
-        known_c.append(_tag(context[first], k))
-        known_b.append(np.log10(per[-1][4]))
-        known_a.append(_tag(c, k + 1))
-        known_p.append(np.log10(p))
-        lower = Tree(*(np.concatenate(v) for v in (known_c, known_b, known_a, known_p)))
-    # prune from the longest: a context stays if it diverges or a longer state ends with it
-    need = np.zeros(0, _U)
-    keep: list[tuple[np.ndarray, ...]] = []
-    for k in range(DEPTH, -1, -1):
-        contexts_k, worth, c, p, back = per[k]
-        stay = worth | np.isin(contexts_k, need)
-        keep.append((_tag(contexts_k[stay], k), np.log10(back[stay]), _tag(c, k + 1)[(m := np.isin(c >> _U(8), contexts_k[stay]))], np.log10(p)[m]))
-        need = contexts_k[stay] & _U((1 << 8 * max(0, k - 1)) - 1)
-    return Tree(*(np.concatenate(v) for v in zip(*keep, strict=True)))
+    arcs = stored(gram_counts.select("n", F.explode(F.array(*levels)).alias("a")).groupBy("a.d", "a.code").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8)))
+    contexts = arcs.groupBy("d", "context").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("kinds")).where(F.col("t") >= max(2, least))
+    arcs = stored(arcs.join(contexts, ["d", "context"]))
+    # smoothed probabilities from the shortest contexts up: an arc's last d bytes are an arc of depth d - 1
+    smooth = (F.col("n") + F.col("kinds") * F.col("parent")) / (F.col("t") + F.col("kinds"))
+    below, per = None, []
+    for d in range(DEPTH + 1):
+        own = arcs.where(F.col("d") == d)
+        if below is None:
+            own = own.withColumn("parent", F.lit(1 / 256))
+        else:
+            own = own.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(below.select(F.col("code").alias("suffix"), F.col("p").alias("parent")), "suffix")
+        below = stored(own.withColumn("p", smooth).select("context", "code", "n", "t", "kinds", "parent", "p"))
+        per.append(below)
+    # pruning from the longest down: a context stays if it diverges or a longer state ends with it
+    states, kept, need = [], [], None
+    weight = F.log10(F.first("kinds") / (F.first("t") + F.first("kinds"))).cast("float")
+    for d in range(DEPTH, -1, -1):
+        worth = F.lit(d == 0) | (F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))) >= gain)
+        own = per[d].groupBy("context").agg(worth.alias("worth"), weight.alias("value"))
+        if need is not None:
+            own = own.join(need.withColumn("needed", F.lit(True)), "context", "left").withColumn("worth", F.col("worth") | F.coalesce("needed", F.lit(False)))
+        own = stored(own.where("worth").select("context", "value"))
+        states.append(own.select(_tagged(F.col("context"), d).alias("key"), "value"))
+        kept.append(per[d].join(own.select("context"), "context", "left_semi").select(_tagged(F.col("code"), d + 1).alias("key"), F.log10("p").cast("float").alias("value")))
+        need = own.select(F.col("context").bitwiseAND(F.lit((1 << 8 * max(0, d - 1)) - 1)).alias("context")).distinct()
+    return stored(reduce(DataFrame.unionByName, states)), stored(reduce(DataFrame.unionByName, kept))
+
+
+def arrays(states: DataFrame, arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What makes a Tree, on the driver."""
+    got = [t.toArrow() for t in (states, arcs)]
+    return tuple(v for t in got for v in (t.column("key").to_numpy().astype(np.int64).view(_U), t.column("value").to_numpy().astype(np.float32)))
+
+
+def log_probabilities(codes: DataFrame, states: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(code, logp) of the distinct windows codes(code), as Tree.score has them, by joins with the tree."""
+    depths = [F.struct(F.lit(d).alias("d"), _tagged(F.col("code"), d + 1).alias("arc"), _tagged(F.shiftright(F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)), 8), d).alias("state")) for d in range(DEPTH + 1)]
+    asked = codes.select("code", F.explode(F.array(*depths)).alias("x")).select("code", "x.*")
+    met = asked.join(arcs.toDF("arc", "logp"), "arc", "left").join(states.toDF("state", "weight"), "state", "left")
+    found = met.groupBy("code").agg(F.max(F.when(F.col("logp").isNotNull(), F.struct("d", "logp"))).alias("best"), F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("d", "weight"))).alias("weights"))  # DEPTH + 1 at most
+    top, last = F.coalesce(F.col("best.d"), F.lit(-1)), F.coalesce(F.col("best.logp").cast("double"), F.lit(-math.log10(256)))
+    return found.select("code", F.aggregate(F.filter("weights", lambda w: w["d"] > top), last, lambda a, w: a + w["weight"].cast("double")).alias("logp"))
 
 
 _TREES: dict[int, tuple] = {}
 
 
-def _shared(tree: Broadcast, frequent: Broadcast) -> tuple[Tree, np.ndarray, np.ndarray]:
-    key = hash((tree.value[0].tobytes()[:4096], frequent.value[0].tobytes()[:4096], len(tree.value[0]), float(tree.value[3].sum()), int(frequent.value[1].sum())))
+def _shared(tree: Broadcast | None, frequent: Broadcast) -> tuple[Tree | None, np.ndarray, np.ndarray]:
+    """The worker's tree and frequent words for these broadcasts, kept between its tasks."""
+    own = tree.value if tree is not None else (np.zeros(0, _U),) * 4
+    key = hash((own[0].tobytes()[:4096], frequent.value[0].tobytes()[:4096], len(own[0]), len(own[2]), float(own[3].sum(dtype=np.float64)), float(frequent.value[1].sum())))
     if key not in _TREES:
         _TREES.clear()
-        _TREES[key] = (Tree(*tree.value), *frequent.value)
+        _TREES[key] = (Tree(*own) if tree is not None else None, *frequent.value)
     return _TREES[key]
 
 
-def mixed(segments: np.ndarray, unigram: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of weight * unigram + (1 - weight) * 10**segments, without underflow."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp((np.log10(unigram) + np.log10(weight)) * np.log(10), (segments + np.log10(1 - weight)) * np.log(10)) / np.log(10)
-
-
-def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast, frequent: Broadcast, scale: float, tokens: int, ends: int, weight: float) -> Iterator[pa.RecordBatch]:
-    """(row, text, with) to kind 0 rows, a text's own (n_tokens, known, base, score), and kind 1 rows.
-
-    Those are its rare words, one row each time: known is 1 for the last word and score the tree's log10 probability.
-    """
+def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast | None, frequent: Broadcast, scale: float) -> Iterator[pa.RecordBatch]:
+    """(row, text, with) to rows of three kinds: 0, a text's own (n tokens, known, base, score); 1, each of its rare
+    words (key, n); 2, without a tree, each of its windows (key, n)."""
     t, keys, counts = _shared(tree, frequent)
-    fields = ["row", "kind", "word", "n", "known", "base", "score", "with"]
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         n, known, base, score = (np.zeros(len(ids), k) for k in (np.int64, np.int64, float, float))
-        rare_row, rare_word, rare_last, rare_score, unigram, rare = [], [], [], [], [], []
+        more: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+        def asked(kind: int, row: int, found: np.ndarray, more: list = more) -> None:
+            if len(found):
+                more.append((kind, row, *np.unique(found, return_counts=True)))
+
         for i, h in word_hashes(texts):
             n[i] = len(h)
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             known[i] = hit.sum()
             base[i] = np.log10((counts[at[hit]] + 1) / scale).sum()
-            # a word is followed by a space or, the last one, by the end; a text without words is the end alone
-            u = np.zeros(max(1, len(h)))
-            u[: len(h)][hit] = counts[at[hit]] / max(1, tokens) * (1 - ends / max(1, tokens))
-            u[-1] = (u[-1] / (1 - ends / tokens) if len(h) else 1.0) * ends / tokens if tokens > ends else 0.0
-            unigram.append(u)
-            lost = np.flatnonzero(~hit)
-            rare.append(np.zeros(len(u), bool))
-            rare[-1][lost] = True
-            rare_row.append(np.full(len(lost), ids[i]))
-            rare_word.append(h[lost])
-            rare_last.append((lost == len(h) - 1).astype(np.int64))
+            asked(1, ids[i], h[~hit])
         i = 0
         while i < len(texts):
             j, held, size = i, [], 0
@@ -296,21 +291,21 @@ def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast, frequent: Broadc
                 held.append(normal(texts[j]))
                 size += len(held[-1])
                 j += 1
-            code, _ = windows(held)
-            last = code & _U(0xFF)
-            stops = np.flatnonzero((last == _U(0x20)) | (last == _U(END)))
-            s = np.cumsum(t.score(code))[stops]
-            own, late = np.diff(s, prepend=0.0), np.concatenate(rare[i:j])
-            m = np.where(late, 0.0, mixed(own, np.concatenate(unigram[i:j]), weight))
-            rare_score.append(own[late])
-            first = np.cumsum([0, *map(len, unigram[i:j])])
-            score[i:j] = np.add.reduceat(m, first[:-1])
+            code, cut = windows(held)
+            if t is None:
+                for k, part in enumerate(np.split(code, cut[:-1])):
+                    asked(2, ids[i + k], part)
+            else:
+                score[i:j] = np.add.reduceat(t.score(code), np.r_[0, cut[:-1]])
             i = j
-        m = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rare_row, rare_word, rare_last, rare_score)]
-        k = len(m[0])
-        columns = [np.r_[ids, m[0]].astype(np.int64), np.r_[np.zeros(len(ids), np.int32), np.ones(k, np.int32)].astype(np.int32), np.r_[np.zeros(len(ids), np.int64), m[1].astype(_U).view(np.int64)], np.r_[n, np.ones(k, np.int64)], np.r_[known, m[2].astype(np.int64)], np.r_[base, np.zeros(k)], np.r_[score, m[3].astype(float)]]
+        size = [len(m[2]) for m in more]
+        k = sum(size)
+        kind, row = (np.repeat(np.array([m[c] for m in more], np.int64), size) for c in (0, 1))
+        key, count = (np.concatenate([m[c] for m in more]) if more else np.zeros(0, np.int64) for c in (2, 3))
+        none = np.zeros(k)
+        columns = [np.r_[ids, row].astype(np.int64), np.r_[np.zeros(len(ids), np.int32), kind].astype(np.int32), np.r_[np.zeros(len(ids), np.int64), key.astype(_U).view(np.int64)], np.r_[n, count].astype(np.int64), np.r_[known, none].astype(np.int64), np.r_[base, none], np.r_[score, none]]
         others = batch.column(2)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.concat_arrays([others, pa.nulls(k, others.type)])], fields)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.concat_arrays([others, pa.nulls(k, others.type)])], ["row", "kind", "key", "n", "known", "base", "score", "with"])
 
 
 def learn(texts: DataFrame) -> DataFrame:
@@ -319,12 +314,12 @@ def learn(texts: DataFrame) -> DataFrame:
     return stored(texts.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def score(docs: DataFrame, training: DataFrame, share: float = SHARE, gain: float = GAIN, weight: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, least: int = LEAST, gain: float = GAIN, broadcast: int = BROADCAST) -> DataFrame:
     """The columns of docs but text, with n_tokens, n_known, train_tokens, base_score and score.
 
     training(text) is what is learned from; docs(text, ...) is scored. Null texts are empty: one token, the end.
-    Repeated rows get equal rows; an empty training table gives base probabilities of 1 and uniform bytes.
-    Columns of docs that are named like a result are replaced.
+    Whole texts are read. Repeated rows get equal rows; an empty docs table gives an empty one, an empty training
+    table base probabilities of 1 and uniform bytes. Columns of docs that are named like a result are replaced.
     """
     spark = docs.sparkSession
     counts = learn(training)
@@ -333,7 +328,9 @@ def score(docs: DataFrame, training: DataFrame, share: float = SHARE, gain: floa
     types, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, types = tokens + ends, types + (ends > 0)
     scale = float(tokens + types + 1)
-    tree = spark.sparkContext.broadcast(build(counts.where("kind = 1").select("key", "n"), share, gain).arrays)
+    states, arcs = build(counts.where("kind = 1").select("key", "n"), least, gain)
+    small = states.count() + arcs.count() <= broadcast
+    tree = spark.sparkContext.broadcast(arrays(states, arcs)) if small else None
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys, n = top.column("key").to_numpy().astype(np.int64).view(_U), top.column("n").to_numpy()
     order = np.argsort(keys)
@@ -343,19 +340,17 @@ def score(docs: DataFrame, training: DataFrame, share: float = SHARE, gain: floa
     others = [c for c in docs.columns if c != "text" and c not in made]
     ready_workers(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(F.lit(0).alias("row__"), *(F.col(f"`{c}`") for c in others)).alias("with"))
-    own = rows.mapInArrow(partial(_scored, tree=tree, frequent=frequent, scale=scale, tokens=int(tokens), ends=ends, weight=weight), f"row long, kind int, word long, n long, known long, base double, score double, with {rows.schema['with'].dataType.simpleString()}")
-    own = stored(own)
-    met = own.where("kind = 1").join(words.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    with np.errstate(divide="ignore"):
-        shared, left = float(np.log10(weight)), float(np.log10(1 - weight))
-    # as in mixed(): the tree's probability, and the word's share of the corpus before another word or the end
-    after = F.when(F.col("known") == 1, ends / max(1, tokens)).otherwise(1 - ends / max(1, tokens))
-    tree_part, word_part = F.col("score") + left, F.log10(c / max(1, tokens) * after) + shared
-    most, least = F.greatest(tree_part, word_part), F.least(tree_part, word_part)
-    both = F.when(c * after > 0, most + F.log10(1 + F.pow(F.lit(10.0), least - most))).otherwise(tree_part)
-    rare = met.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known2"), F.sum(F.log10((c + 1) / scale)).alias("base2"), F.sum(both).alias("score2"))
+    own = stored(rows.mapInArrow(partial(_scored, tree=tree, frequent=frequent, scale=scale), f"row long, kind int, key long, n long, known long, base double, score double, with {rows.schema['with'].dataType.simpleString()}"))
+    met = own.where("kind = 1").select("row", "key", "n").join(words.select("key", F.col("n").alias("c")), "key", "left")
+    more = met.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("known2"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / scale)).alias("base2"))
+    out = own.where("kind = 0").join(more, "row", "left")
+    total = F.col("score")
+    if not small:
+        asked = own.where("kind = 2").select("row", F.col("key").alias("code"), "n")
+        known = stored(log_probabilities(asked.select("code").distinct(), states, arcs))
+        out = out.join(asked.join(known, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("score2")), "row", "left")
+        total = F.coalesce("score2", F.lit(0.0))
     end = float(np.log10((ends + 1) / scale))
-    return own.where("kind = 0").join(rare, "row", "left").select(
+    return out.select(
         *(F.col(f"with.`{c}`") for c in others), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.coalesce("known2", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0)) + end).alias("base_score"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+        (F.col("base") + F.coalesce("base2", F.lit(0.0)) + end).alias("base_score"), total.alias("score"))
