@@ -7,17 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, for release().
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the session names in spark.checkpoint.dir; a temporary folder only where nothing is set."""
+    """What the session names in spark.checkpoint.dir.
+
+    Where nothing is set, a local session gets a temporary folder; on a cluster executors would write where the
+    driver can't read, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
     return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df written as Parquet into the shared folder and read again: short lineage, storage that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what stored() has written so far; for callers whose results are written. Returns the number of folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
