@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers
+from loomgraph.llm.common import kept, ready_workers
 
 #: The pattern that splits a text into words, fixed by the vocabulary. White space is Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -34,8 +34,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+
 LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 LATIN_WORDS = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+"
 NOT_LATIN = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
-#: Words in the automaton, words kept ready by a worker, and distinct words counted before they are handed on.
-LEXICON, READY, HELD = 1 << 17, 400_000, 200_000
+#: Words in the automaton; bytes of words and ids kept ready by a worker; bytes of words counted before they are handed on.
+LEXICON, READY, HELD = 1 << 17, 24 << 20, 24 << 20
+#: About the bytes of an entry of a dictionary of words besides the word's letters.
+ENTRY = 160
 #: Longer words use a heap.
 SHORT = 48
 _NONE = 1 << 60  # no merge
@@ -236,7 +238,7 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of texts: a bounded store of words met, then the transducer, then exact merging.
+    """Ids of texts: a store of words met, bounded in bytes, then the transducer, then exact merging.
 
     The store holds the ids of a word, or only their decimal form where digests are wanted.
     """
@@ -244,13 +246,16 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer, decimal: bool = False):
         self.vocabulary, self.transducer, self.decimal = vocabulary, transducer, decimal
         self.ready: dict[str, tuple[int, ...] | str] = {}
+        self.held = 0
         #: words whose ids decode to other bytes than their own
         self.changed: dict[str, bytes] = {}
 
     def words(self, texts: Sequence[str | None]) -> list[list[str]]:
         """The words of each text; all are in the store afterwards."""
-        if len(self.ready) > READY:
+        if self.held > READY:
             self.ready.clear()
+            self.changed.clear()
+            self.held = 0
         out = [self.vocabulary.split(t) if t else [] for t in texts]
         self._learn(list(set(filterfalse(self.ready.__contains__, chain.from_iterable(out)))))
         return out
@@ -263,6 +268,7 @@ class Encoder:
         for w, b, r, a, z in zip(new, raw, rank.tolist(), first, last, strict=True):
             ids = [v.special[w]] if w in v.special else out[a:z].tolist() if r >= 0 else v.merge(b)
             self.ready[w] = ",".join(map(str, ids)) if self.decimal else tuple(ids)
+            self.held += ENTRY + len(b) + (8 if self.decimal else 36) * len(ids)
             if (back := b"".join(map(bytes_of, ids))) != b:
                 self.changed[w] = back
 
@@ -278,50 +284,70 @@ class Encoder:
         """
         for words in self.words(texts):
             ids = ",".join(map(self.ready.__getitem__, words))
-            if self.changed and not self.changed.keys().isdisjoint(words):
-                decoded = b"".join(self.changed.get(w) or w.encode() for w in words).decode("utf-8", "replace").encode()
-            else:
-                decoded = "".join(words).encode()
-            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), self._decoded(words)
+
+    def hashed(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, str]]:
+        """The ids, and sha256 of the decoded text."""
+        for words in self.words(texts):
+            yield np.fromiter(chain.from_iterable(map(self.ready.__getitem__, words)), np.int32), self._decoded(words)
+
+    def _decoded(self, words: list[str]) -> str:
+        if self.changed and not self.changed.keys().isdisjoint(words):
+            back = b"".join(self.changed.get(w) or w.encode() for w in words).decode("utf-8", "replace").encode()
+        else:
+            back = "".join(words).encode()
+        return hashlib.sha256(back).hexdigest()
 
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
-    v, seen = Vocabulary(vocabulary.value), Counter()
+    """Texts to (word, n), summed over as many texts as HELD allows; long words are left out, being merged where they occur."""
+    v = kept(("vocabulary", hash(vocabulary.value)), lambda: Vocabulary(vocabulary.value))
+    seen: Counter[str] = Counter()
+    held = 0
 
     def handed() -> pa.RecordBatch:
-        short = [(w, n) for w, n in seen.items() if len(w) <= SHORT]  # longer ones are merged where they occur
-        out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
+        short = [(w, n) for w, n in seen.items() if len(w) <= SHORT]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(v.split(text or ""))
-            if len(seen) > HELD:
+            before = len(seen)
+            words = v.split(text or "")
+            seen.update(words)
+            held += (len(seen) - before) * ENTRY + (len(text) if text and len(seen) > before else 0)
+            if held > HELD:
                 yield handed()
+                seen, held = Counter(), 0
     yield handed()
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(vocabulary: Broadcast, automaton: Broadcast, decimal: bool) -> Encoder:
     """The worker's encoder for these broadcasts, kept between its tasks."""
-    key = hash((hash(vocabulary.value), hashlib.sha256(automaton.value).digest(), decimal))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(vocabulary.value), Transducer.mapped(automaton.value), decimal)
-    return _ENCODERS[key]
+    key = ("encoder", hash(vocabulary.value), hashlib.sha256(automaton.value).digest(), decimal)
+    return kept(key, lambda: Encoder(Vocabulary(vocabulary.value), Transducer.mapped(automaton.value), decimal))
+
+
+#: Result columns, by what is asked for.
+MADE = {
+    "text": {"n_tokens": "long", "ids": "array<int>", "decoded": "string"},
+    "hashed": {"n_tokens": "long", "ids": "array<int>", "decoded_sha256": "string"},
+    "digest": {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"},
+}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, automaton: Broadcast, digest: bool) -> Iterator[pa.RecordBatch]:
-    e = _encoder(vocabulary, automaton, digest)
-    names = ["n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, automaton: Broadcast, result: str) -> Iterator[pa.RecordBatch]:
+    e = _encoder(vocabulary, automaton, result == "digest")
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
-        made = list(e.digests(texts)) if digest else [(len(ids), ids, e.vocabulary.decode(ids)) for ids in e.encode(texts)]
-        kinds = (pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], [*batch.schema.names[:-1], *names])
+        if result == "digest":
+            made = list(e.digests(texts))
+            columns = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))]
+        else:
+            made = list(e.hashed(texts))
+            size = np.array([len(m[0]) for m in made], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int32)))
+            columns = [pa.array(size), ids, pa.array([e.vocabulary.decode(m[0].tolist()) if result == "text" else m[1] for m in made], pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *MADE[result]])
 
 
 def lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> bytes:
@@ -334,12 +360,14 @@ def lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> bytes:
     return Transducer.compile({b: v.merge(b) for w in top if (b := w.encode())}).pack()
 
 
-def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, digest: bool = False) -> DataFrame:
-    """The columns of docs but text, with n_tokens, ids (array of int) and decoded; or sha256 digests of both.
+def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, result: str = "text") -> DataFrame:
+    """The columns of docs but text, with n_tokens and what ``result`` names.
 
-    path: a vocabulary file of the tokenizers library, read on the driver and broadcast (its size is fixed). Null
-    texts are empty and have no ids. Special strings in a text become their ids. Columns of docs that are named
-    like a result are left out.
+    "text": ids (array of int) and decoded; "hashed": ids and decoded_sha256; "digest": ids_sha256 (of the ids in
+    decimal, joined by commas) and decoded_sha256. path: a vocabulary file of the tokenizers library, read on the
+    driver and broadcast (its size is fixed). Null texts are empty and have no ids; very long texts and words are
+    encoded whole. Special strings in a text become their ids. Rows are independent: repeated rows get equal rows, an
+    empty table gives an empty one. Columns of docs that are named like a result are left out.
     """
     with open(path, encoding="utf-8") as f:
         vocabulary = f.read()
@@ -347,7 +375,7 @@ def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, digest: bool
     ready_workers(spark)
     automaton = spark.sparkContext.broadcast(lexicon(docs, vocabulary, words))
     given = spark.sparkContext.broadcast(vocabulary)
-    made = {"n_tokens": "long"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"})
+    made = MADE[result]
     others = [f for f in docs.schema.fields if f.name != "text" and f.name not in made]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{k} {t}" for k, t in made.items())])
-    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_encode, vocabulary=given, automaton=automaton, digest=digest), schema)
+    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(partial(_encode, vocabulary=given, automaton=automaton, result=result), schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers, stored
+from loomgraph.llm.common import kept, ready_workers, stored
 from loomgraph.llm.components import components
 
 #: Shared random bits repeat after PERIOD steps. A text's last quarter (1 / PART) is edited.
@@ -119,13 +119,8 @@ class Print:
         return Print(int(steps, 16), np.unpackbits(np.frombuffer(bytes.fromhex(data), np.uint8)).reshape(-1, OCTAVE))
 
 
-_WALKERS: dict[int, Walker] = {}
-
-
 def walker(seed: int = SEED) -> Walker:
-    if seed not in _WALKERS:
-        _WALKERS[seed] = Walker(seed)
-    return _WALKERS[seed]
+    return kept(("walker", seed), lambda: Walker(seed))
 
 
 #: What is said of a document and the one after it.

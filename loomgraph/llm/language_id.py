@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers, stored
+from loomgraph.llm.common import kept, ready_workers, stored
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -152,6 +152,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         langs, at, value = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -198,6 +199,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         out = [model.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])

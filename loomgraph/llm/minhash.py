@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers, stored
+from loomgraph.llm.common import kept, ready_workers, stored
 from loomgraph.llm.components import components
 from loomgraph.llm.words import mix, shingles, word_hashes
 
@@ -39,6 +39,7 @@ def _minima(sets: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int, seed: int) -> Iterator[pa.RecordBatch]:
+    kept()
     rng = np.random.default_rng(seed)
     mul = (rng.integers(0, 1 << 32, bands * rows, np.uint32) | 1)[:, None].astype(np.uint32)
     add = rng.integers(0, 1 << 32, bands * rows, np.uint32)[:, None]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers
+from loomgraph.llm.common import kept, ready_workers
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "other")
@@ -228,6 +228,7 @@ class Field:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to training nodes as (code, n): features, label, label before and label of an earlier token alike, packed."""
+    kept()
     seen: Counter[int] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -258,6 +259,7 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _found(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         rows = [field.spans(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         counts = [pa.array([sum(k == i for *_, k in b) for b, _ in rows], pa.int64()) for i in range(len(KINDS))]
@@ -279,6 +281,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def _masked(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []

@@ -67,7 +67,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from loomgraph.llm.bpe import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), result="digest")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

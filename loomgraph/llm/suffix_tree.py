@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers, stored
+from loomgraph.llm.common import kept, ready_workers, stored
 from loomgraph.llm.words import word_hashes
 
 _U = np.uint64
@@ -106,6 +106,7 @@ class _Counts:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (kind, key, n): kind 0 for hashes of words, 1 for windows."""
+    kept()
     words, grams = _Counts(), _Counts()
 
     def rows(everything: bool) -> Iterator[pa.RecordBatch]:
@@ -251,17 +252,11 @@ def log_probabilities(codes: DataFrame, states: DataFrame, arcs: DataFrame) -> D
     return found.select("code", F.aggregate(F.filter("weights", lambda w: w["d"] > top), last, lambda a, w: a + w["weight"].cast("double")).alias("logp"))
 
 
-_TREES: dict[int, tuple] = {}
-
-
 def _shared(tree: Broadcast | None, frequent: Broadcast) -> tuple[Tree | None, np.ndarray, np.ndarray]:
     """The worker's tree and frequent words for these broadcasts, kept between its tasks."""
     own = tree.value if tree is not None else (np.zeros(0, _U),) * 4
-    key = hash((own[0].tobytes()[:4096], frequent.value[0].tobytes()[:4096], len(own[0]), len(own[2]), float(own[3].sum(dtype=np.float64)), float(frequent.value[1].sum())))
-    if key not in _TREES:
-        _TREES.clear()
-        _TREES[key] = (Tree(*own) if tree is not None else None, *frequent.value)
-    return _TREES[key]
+    key = ("tree", own[0].tobytes()[:4096], frequent.value[0].tobytes()[:4096], len(own[0]), len(own[2]), float(own[3].sum(dtype=np.float64)), float(frequent.value[1].sum()))
+    return kept(key, lambda: (Tree(*own) if tree is not None else None, *frequent.value))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], tree: Broadcast | None, frequent: Broadcast, scale: float) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ready_workers
+from loomgraph.llm.common import kept, ready_workers
 
 #: Common insults of the four languages at hand.
 LEXICON = frozenset("""
@@ -162,6 +162,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to partial document counts of words."""
+    kept()
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -182,12 +183,14 @@ def learn_lexicon(rows: DataFrame, most: int = LEARNED, least: int = 8) -> dict[
 
 
 def _featured(batches: Iterator[pa.RecordBatch], learned: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         x = [features(t, learned) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "held", "x"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], learned: dict[str, float], model: Boosted) -> Iterator[pa.RecordBatch]:
+    kept()
     for batch in batches:
         x = np.array([features(t, learned) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], [*batch.schema.names[:-1], "toxicity"])

@@ -67,6 +67,34 @@ def test_transducer_is_minimal_and_exact(vocabulary):
     assert Transducer.compile({}).ranks([b"a"]).tolist() == [-1]
 
 
+def test_operator_like_the_library(spark, sf):
+    """All three results, with a small automaton and a store that is emptied again and again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in docs.collect():
+        ids = LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (ids, LIBRARY.decode(ids, skip_special_tokens=False))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in encode_decode(docs, PATH, words=500).collect():
+        assert (r["ids"], r["decoded"], r["n_tokens"]) == (*want[r["doc_id"]], len(r["ids"]))
+    for r in encode_decode(docs, PATH, result="hashed").collect():
+        assert (r["ids"], r["decoded_sha256"]) == (want[r["doc_id"]][0], sha(want[r["doc_id"]][1]))
+    from loomgraph.llm.queries import QUERIES
+
+    for r in QUERIES["op9_bpe"](spark, sf).collect():
+        ids, text = want[r["doc_id"]]
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(text))
+
+
+def test_a_store_that_is_emptied(vocabulary, monkeypatch):
+    monkeypatch.setattr("loomgraph.llm.bpe.READY", 2000)
+    texts = [f"word{i} and {i * 7} more of word{i % 5}" for i in range(200)]
+    e = encoder(vocabulary, [" and"])
+    for k in range(0, 200, 10):
+        assert list(e.encode(texts[k : k + 10])) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[k : k + 10]]
+        assert e.held < 2000 + 10 * 7 * 300
+
+
 def test_odd_rows(odd, empty):
     got = encode_decode(odd, PATH, words=50)
     rows = got.collect()
