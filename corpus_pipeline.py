@@ -53,8 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document, with the digest of the decoded text."""
-    made = encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), result="hashed")
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("PII", personal_data), ("mixing sources to target weights", mixing), ("BPE encoding and decoding", encoding)]
