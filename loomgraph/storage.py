@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files that a table of known size is written in at least, if it has so many partitions.
+FILES = 8
 #: Folders written by this process, for release().
 _WRITTEN: list[str] = []
 
@@ -26,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: short lineage, storage that outlives executors."""
+def stored(df: DataFrame, rows: int | None = None, each: int = 200_000) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: short lineage, storage that outlives executors.
+
+    Where the caller knows a bound on the number of rows, df is written in files of about ``each`` rows (FILES at
+    least), not in one for every shuffle partition: many small files cost more than what is in them.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FILES, -(-rows // each)))
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
