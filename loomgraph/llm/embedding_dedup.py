@@ -266,15 +266,15 @@ def _found(classes: DataFrame, rows: int, pairs: float, threshold: float, miss:
     label = np.array([r[1] for r in drawn])
     width, tables = plan_codes(x, label, rows, pairs, threshold, miss, bits)
     learned = learn_tables(x, tables, width)
-    coded = stored(classes.select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label string, embedding array<double>, copies long, codes array<long>"))
+    coded = stored(classes.select("rep", "label", "embedding", "copies").mapInArrow(partial(_encode, learned=learned), "rep long, label string, embedding array<double>, copies long, codes array<long>"), rows, 20_000)
     bucket = ["label", "t", "code"]
-    large = stored(coded.select("label", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part))
+    large = stored(coded.select("label", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part), rows * tables // part)
     placed = coded.select("rep", "label", "copies", "embedding", "codes", F.posexplode("codes").alias("t", "code")).join(large, bucket, "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / part), F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     # a vector of part p goes to every pair of parts with p in it
     placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "copies", "embedding", "codes", *bucket, "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"))
     grouped = placed.repartition(*bucket, "low", "high").sortWithinPartitions(*bucket, "low", "high")
-    return stored(grouped.mapInArrow(partial(_links, threshold=threshold, part=part), "a long, b long, n long"))
+    return stored(grouped.mapInArrow(partial(_links, threshold=threshold, part=part), "a long, b long, n long"), rows * tables, 20_000)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, bits: int | None = None, sample: int = SAMPLE, part: int = 2048) -> DataFrame:
@@ -294,10 +294,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     good = good.withColumn("embedding", F.transform("embedding", lambda v: v + 0.0))  # -0.0 and 0.0 alike
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    number = vectors.count()
+    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), number, 20_000)
     several = classes.where("copies > 1")
     same = good.join(several.select("label", "embedding", "rep", "copies"), ["label", "embedding"]).select("vec_id", "rep", "copies")
-    same = stored(same.unionByName(classes.where("copies = 1").select(F.col("rep").alias("vec_id"), "rep", "copies")))
+    same = stored(same.unionByName(classes.where("copies = 1").select(F.col("rep").alias("vec_id"), "rep", "copies")), number)
     # vectors of different dimensions have no cosine: each dimension has its own rotations and tables
     n = F.col("n").cast("double")
     dims = classes.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.sum("n").alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).where("pairs > 0").orderBy("dim").collect()
@@ -305,11 +306,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
     if each:
         found = reduce(DataFrame.unionByName, each)
         links = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
-        groups = components(found.where("b <> -1").select("a", "b")).withColumnRenamed("id", "rep")
-        same = same.join(stored(links), "rep", "left").join(stored(groups), "rep", "left")
+        groups = components(found.where("b <> -1").select("a", "b"), found.count()).withColumnRenamed("id", "rep")
+        same = same.join(stored(links, number), "rep", "left").join(stored(groups, number), "rep", "left")
     else:
         same = same.withColumn("more", F.lit(0)).withColumn("component", F.lit(None).cast("long"))
     known = same.select(F.col("vec_id").alias("id"), (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    out = rows.select("vec_id").join(stored(known), F.col("vec_id") == F.col("id"), "left")
+    out = rows.select("vec_id").join(stored(known, number), F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import kept, ready_workers, stored
+from loomgraph.llm.common import kept, ready_workers
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -164,19 +164,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"])
 
 
-def sampled(rows: DataFrame, quota: int) -> DataFrame:
-    """(lang, text): for each language of rows(lang, text) the quota distinct texts of least hash, fewer if it has fewer.
+def sampled(rows: DataFrame, quotas: dict[str, tuple[int, int]]) -> DataFrame:
+    """(lang, text): for each language of rows(lang, h, text), h a hash of the text, the texts of least hash.
 
-    Hashes are counted and ranked, texts stay where they are: a language's rank looks at no more than about 8 * quota
-    hashes, since a threshold on them is set from its number of distinct texts. Copies of a text count once.
+    quotas: for each language how many distinct texts to take (all if it has fewer) and about how many it has. Hashes
+    are ranked, texts stay where they are: a threshold set from the number of texts leaves a rank about four times
+    the quota of hashes to look at. Copies of a text count once.
     """
-    hashed = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1).alias("h"))
-    distinct = stored(hashed.distinct())
-    upto = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.when(F.col("n") > 8 * quota, 4.0 * quota / F.col("n")).otherwise(1.0))
-    few = distinct.join(F.broadcast(upto.select("lang", "upto")), "lang").where(F.col("h") <= F.col("upto") * float((1 << 63) - 1))  # one row a language
-    chosen = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("place") <= quota).select("lang", "h")
-    chosen = F.broadcast(stored(chosen))  # at most quota * languages rows of two short columns
-    return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)).join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    spark, top = rows.sparkSession, float((1 << 63) - 1)
+    limits = spark.createDataFrame([(k, q, min(1.0, 4.0 * q / max(1, n)) if n > 8 * q else 1.0) for k, (q, n) in quotas.items()], "lang string, quota int, upto double")
+    few = rows.select("lang", "h").join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("upto") * top).distinct()
+    ranked = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where("place <= quota")
+    chosen = spark.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")  # the quotas' sum at most
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -186,13 +186,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     table gives a model without languages. What is drawn rests on the texts alone, not on the order of rows.
     """
     ready_workers(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if counts > MAX_LANGUAGES:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1).alias("h"), "text")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model([], {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    drawn = sampled(rows, max(20, sample // counts))
+    drawn = sampled(rows, {r["lang"]: (max(20, sample // len(counts)), r["n"]) for r in counts})
     got = drawn.mapInArrow(_features, "lang string, at array<int>, value array<float>").toArrow()
     rows = [(lang, np.array(a), np.array(v)) for lang, a, v in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
     return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))

@@ -140,19 +140,21 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(partial(_compare, k=k, percent=percent), "a long, b long")
 
 
-def _across(met: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent: int, part: int) -> DataFrame | None:
-    """Links between documents of different components that met one centre; met(a: the centre, b), texts(id, text)."""
+def _across(met: DataFrame, pairs: int, groups: DataFrame, texts: DataFrame, k: int, percent: int, part: int) -> DataFrame | None:
+    """Links between documents of different components that met one centre; met(a: the centre, b) of so many pairs, texts(id, text)."""
     member = met.select(F.col("a").alias("hub"), F.col("b").alias("doc")).unionByName(met.select(F.col("a").alias("hub"), F.col("a").alias("doc")).distinct())
     own = groups.select(F.col("id").alias("doc"), "component")
     member = member.join(own, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     member = member.join(groups.select(F.col("id").alias("hub"), F.col("component").alias("core")), "hub", "left")
-    member = stored(member.withColumn("out", F.col("component") != F.coalesce("core", "hub")).drop("core"))
+    member = stored(member.withColumn("out", F.col("component") != F.coalesce("core", "hub")).drop("core"), 2 * pairs)
     outs, cores = F.sum(F.col("out").cast("int")), F.sum((~F.col("out")).cast("int"))
-    sizes = stored(member.groupBy("hub").agg(outs.alias("n_out"), cores.alias("n_core")).where("n_out > 0"))
-    if sizes.isEmpty():
-        return None
+    sizes = member.groupBy("hub").agg(outs.alias("n_out"), cores.alias("n_core")).where("n_out > 0")
     parts = lambda c: F.ceil(F.col(c) / part).cast("int")
-    rows = member.join(sizes.select("hub", parts("n_out").alias("p_out"), parts("n_core").alias("p_core")), "hub")
+    sizes = stored(sizes.withColumn("p_out", parts("n_out")).withColumn("p_core", parts("n_core")), pairs)
+    copies = sizes.agg(F.sum(F.col("n_out") * (F.col("p_out") + F.col("p_core")) + F.col("n_core") * F.col("p_out"))).first()[0]
+    if not copies:
+        return None
+    rows = member.join(sizes.select("hub", "p_out", "p_core"), "hub")
     # parts 0 to p_out - 1 hold outliers, those after them the rest
     own_part = F.when(F.col("out"), F.pmod(F.xxhash64("doc"), F.col("p_out"))).otherwise(F.col("p_out") + F.pmod(F.xxhash64("doc"), F.greatest("p_core", F.lit(1)))).cast("int")
     rows = rows.withColumn("p", own_part)
@@ -160,9 +162,9 @@ def _across(met: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent
     upto = F.least(F.col("p"), F.col("p_out")) - 1
     told = F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), lambda q: F.struct(q.alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))))
     blocks = F.when(F.col("out"), F.concat(asks, F.coalesce(told, F.array().cast("array<struct<i:int,j:int,side:int>>")))).otherwise(told)
-    rows = stored(rows.select("hub", "doc", "component", F.explode(blocks).alias("x")).select("hub", "x.i", "x.j", "x.side", "doc", "component"))
+    rows = stored(rows.select("hub", "doc", "component", F.explode(blocks).alias("x")).select("hub", "x.i", "x.j", "x.side", "doc", "component"), copies)
     full = rows.hint("merge").join(texts.withColumnRenamed("id", "doc"), "doc").select("hub", "i", "j", "side", "doc", "component", "text")
-    return stored(full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_outliers, k=k, percent=percent), "a long, b long").distinct())
+    return stored(full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(partial(_outliers, k=k, percent=percent), "a long, b long").distinct(), copies)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7, part: int = 1024) -> DataFrame:
@@ -174,33 +176,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     ready_workers(docs.sparkSession, 64)
     signed = stored(signatures(docs, k, bands, rows, seed))
+    n = signed.count()
     filled = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = stored(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), n)
     sets = ["k1", "k2", "n_shingles"]
     copies = classes.where(F.col("copies") > 1).select(*sets, "rep")
     same = filled.select(*sets, "doc_id").join(copies, sets).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = signed.join(same.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "hub", "hub_n")
-    met = banded.join(stored(hubs), "band")
+    met = banded.join(stored(hubs, bands * n), "band")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a larger set can't be that alike
-    met = stored(met.where(F.col("doc_id") > F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), fits(F.col("n"), F.col("hub_n")).alias("fits")).distinct())
+    met = stored(met.where(F.col("doc_id") > F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), fits(F.col("n"), F.col("hub_n")).alias("fits")).distinct(), bands * n)
+    pairs = met.count()
     first = met.where("fits").select("a", "b")
     met = met.select("a", "b")
     # Only texts with a candidate move on: all texts are shuffled once. Joins with texts are merge joins at every
     # size, since what is on the other side grows with the corpus.
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi"))
-    links = stored(verified(first, texts, k, percent))
-    groups = components(links)
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi"), n, 10_000)
+    links = stored(verified(first, texts, k, percent), pairs, 4_000)
+    groups = components(links, pairs)
 
-    found = _across(met, groups, texts, k, percent, part)
+    found = _across(met, pairs, groups, texts, k, percent, part)
     if found is not None:
-        groups = components(links.unionByName(found))
+        groups = components(links.unionByName(found), pairs)
     # copies of a class go where their representative goes
-    groups = stored(groups)
+    groups = stored(groups, n)
     led = same.join(groups.select(F.col("id").alias("a"), "component"), "a", "left").select(F.col("b").alias("id"), F.least("a", F.coalesce("component", "a")).alias("component")).distinct()
-    led = stored(led.unionByName(groups).groupBy("id").agg(F.min("component").alias("component")))
+    led = stored(led.unionByName(groups).groupBy("id").agg(F.min("component").alias("component")), n)
     out = signed.select("doc_id", "n_shingles").join(led.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -53,15 +53,15 @@ def order_key(doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(17)), 1)
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """rows(sx, doc_id, size, ...) with start: the words before the row in its source's shuffled order.
+def placed(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows(sx, doc_id, size, ...), n of them if that is known, with start: the words before the row in its source's shuffled order.
 
     Ties in the order are rows alike in id and size, so any order of them gives the same result. The sums run
     over a tree: FAN groups in a source, FAN groups in each of these, then rows; the widest window over groups
     has FAN rows, the widest over documents 1 / FAN**2 of a source.
     """
     rows = rows.withColumn("h", order_key(F.col("doc_id"))).withColumn("b1", F.shiftright("h", 53)).withColumn("b2", F.shiftright("h", 43).bitwiseAND(F.lit(FAN - 1))).withColumn("n", F.col("size"))
-    leaf = stored(rows.groupBy("sx", "b1", "b2").agg(F.sum("n").alias("n")))
+    leaf = stored(rows.groupBy("sx", "b1", "b2").agg(F.sum("n").alias("n")), n)
     top = leaf.groupBy("sx", "b1").agg(F.sum("n").alias("n")).select("sx", "b1", _before(["sx"], ["b1"]).alias("s1"))
     groups = leaf.select("sx", "b1", "b2", _before(["sx", "b1"], ["b2"]).alias("s2")).join(top, ["sx", "b1"])
     rows = rows.withColumn("s3", _before(["sx", "b1", "b2"], ["h", "doc_id"]))
@@ -78,7 +78,7 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     drawn = plan.sparkSession.range(0, slots).select(F.col("id").alias("k"), (point - F.floor(point)).alias("u"))
     cells = plan.select("sx", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     drawn = drawn.withColumn("cell", F.floor(F.col("u") * CELLS)).join(F.broadcast(cells), "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    drawn = stored(drawn.select("sx", "k", F.shiftright("k", 12).alias("kb"), F.shiftright("k", 22).alias("kh")))
+    drawn = stored(drawn.select("sx", "k", F.shiftright("k", 12).alias("kb"), F.shiftright("k", 22).alias("kh")), slots)
     count = drawn.groupBy("sx", "kb", "kh").agg(F.count(F.lit(1)).alias("n"))
     high = count.groupBy("sx", "kh").agg(F.sum("n").alias("n")).select("sx", "kh", _before(["sx"], ["kh"]).alias("r1"))
     low = count.select("sx", "kb", "kh", _before(["sx", "kh"], ["kb"]).alias("r0")).join(high, ["sx", "kh"])
@@ -95,6 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     """
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    n = rows.count()
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()  # a row a source
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     cuts = cuts.select("sx", "lo", "hi", blocks_of(F.col("lo"), F.col("hi")))
 
     keyed = rows.join(plan_df.select("sx", F.col("source").alias("s"), "source_size", "target"), rows["source"].eqNullSafe(F.col("s"))).drop("s")
-    laid = stored(placed(keyed).withColumn("row", F.monotonically_increasing_id()))
+    laid = stored(placed(keyed, n).withColumn("row", F.monotonically_increasing_id()), n)
     pieces = laid.where(F.col("size") > 0).select("row", "sx", F.col("start").alias("d0"), (F.col("start") + F.col("size")).alias("d1"), blocks_of(F.col("start"), F.col("start") + F.col("size")))
     shared = F.least("d1", "hi", (F.col("block") + 1) * block_words) - F.greatest("d0", "lo", F.col("block") * block_words)
     got = pieces.join(cuts, ["sx", "block"]).where(shared > 0).groupBy("row").agg(F.sum(shared).alias("taken"))
@@ -137,7 +138,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     without words are kept once.
     """
     taken = mix(docs, **how).where(F.col("size") > 0).select("source", "h", F.round(F.col("taken") / F.col("size")).alias("copies"))
-    taken = stored(taken)
+    taken = stored(taken, docs.count())
     least = taken.groupBy("source").agg(F.min("copies").alias("least"))
     upto = taken.join(F.broadcast(least).withColumnRenamed("source", "s"), taken["source"].eqNullSafe(F.col("s"))).groupBy(taken["source"].alias("mix_source")).agg(F.min("least").alias("mix_least"), F.max(F.when(F.col("copies") > F.col("least"), F.col("h"))).alias("mix_upto"))
     # names that docs has not

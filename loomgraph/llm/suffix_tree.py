@@ -207,9 +207,11 @@ class Tree:
 def build(gram_counts: DataFrame, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
     """(states(key, value), arcs(key, value)) of the tree, from gram_counts(key, n) of all windows: see Tree."""
     levels = [F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")) for d in range(DEPTH + 1)]
-    arcs = stored(gram_counts.select("n", F.explode(F.array(*levels)).alias("a")).groupBy("a.d", "a.code").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8)))
+    rows = (DEPTH + 1) * gram_counts.count()
+    arcs = stored(gram_counts.select("n", F.explode(F.array(*levels)).alias("a")).groupBy("a.d", "a.code").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8)), rows)
     contexts = arcs.groupBy("d", "context").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("kinds")).where(F.col("t") >= max(2, least))
-    arcs = stored(arcs.join(contexts, ["d", "context"]))
+    arcs = stored(arcs.join(contexts, ["d", "context"]), rows)
+    rows = arcs.count()
     # smoothed probabilities from the shortest contexts up: an arc's last d bytes are an arc of depth d - 1
     smooth = (F.col("n") + F.col("kinds") * F.col("parent")) / (F.col("t") + F.col("kinds"))
     below, per = None, []
@@ -219,7 +221,7 @@ def build(gram_counts: DataFrame, least: int = LEAST, gain: float = GAIN) -> tup
             own = own.withColumn("parent", F.lit(1 / 256))
         else:
             own = own.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(below.select(F.col("code").alias("suffix"), F.col("p").alias("parent")), "suffix")
-        below = stored(own.withColumn("p", smooth).select("context", "code", "n", "t", "kinds", "parent", "p"))
+        below = stored(own.withColumn("p", smooth).select("context", "code", "n", "t", "kinds", "parent", "p"), rows)
         per.append(below)
     # pruning from the longest down: a context stays if it diverges or a longer state ends with it
     states, kept, need = [], [], None
@@ -229,11 +231,11 @@ def build(gram_counts: DataFrame, least: int = LEAST, gain: float = GAIN) -> tup
         own = per[d].groupBy("context").agg(worth.alias("worth"), weight.alias("value"))
         if need is not None:
             own = own.join(need.withColumn("needed", F.lit(True)), "context", "left").withColumn("worth", F.col("worth") | F.coalesce("needed", F.lit(False)))
-        own = stored(own.where("worth").select("context", "value"))
+        own = stored(own.where("worth").select("context", "value"), rows)
         states.append(own.select(_tagged(F.col("context"), d).alias("key"), "value"))
         kept.append(per[d].join(own.select("context"), "context", "left_semi").select(_tagged(F.col("code"), d + 1).alias("key"), F.log10("p").cast("float").alias("value")))
         need = own.select(F.col("context").bitwiseAND(F.lit((1 << 8 * max(0, d - 1)) - 1)).alias("context")).distinct()
-    return stored(reduce(DataFrame.unionByName, states)), stored(reduce(DataFrame.unionByName, kept))
+    return stored(reduce(DataFrame.unionByName, states), rows), stored(reduce(DataFrame.unionByName, kept), rows)
 
 
 def arrays(states: DataFrame, arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ def test_a_language_of_few_texts_and_many_copies_is_learned(spark):
     french = [f"la maison {'y' * (i % 5)} est grande et le chien {i} dort dans la rue avec nous" for i in range(300)]
     rows = [(english[i % 5], "en") for i in range(20_000)] + [(t, "de") for t in german] + [(t, "fr") for t in french]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(6)
-    drawn = language_id.sampled(docs, 20)
+    drawn = language_id.sampled(docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)), {"en": (20, 5), "de": (20, 310), "fr": (20, 290)})
     assert {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()} == {"en": 5, "de": 20, "fr": 20}
     model = language_id.train(docs)
     assert sorted(sum(model.langs.values(), [])) == ["de", "en", "fr"]
