@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import kept, ready_workers
+from loomgraph.llm.common import kept, ready_workers, trim
 
 #: The pattern that splits a text into words, fixed by the vocabulary. White space is Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -357,7 +357,10 @@ def lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON) -> bytes:
     counts = docs.select("text").mapInArrow(partial(_count, vocabulary=given), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()
     v = Vocabulary(vocabulary)
-    return Transducer.compile({b: v.merge(b) for w in top if (b := w.encode())}).pack()
+    packed = Transducer.compile({b: v.merge(b) for w in top if (b := w.encode())}).pack()
+    del v, top
+    trim()
+    return packed
 
 
 def encode_decode(docs: DataFrame, path: str, words: int = LEXICON, result: str = "text") -> DataFrame:

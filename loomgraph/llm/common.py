@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import shared_dir, stored
 
-__all__ = ["WORD_PATTERN", "fold", "id_bucket", "kept", "ready_workers", "shared_dir", "stored", "table"]
+__all__ = ["WORD_PATTERN", "fold", "id_bucket", "kept", "ready_workers", "shared_dir", "stored", "table", "trim"]
 
 #: Words are runs of anything but these six bytes: space and U+0009 to U+000D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -42,6 +42,13 @@ def ready_workers(spark: SparkSession, rows: int = ROWS) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where the C library can; on the driver after a model was made."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 _KEPT: dict[Hashable, Any] = {}
 
 
@@ -54,9 +61,7 @@ def kept(key: Hashable = None, make: Callable[[], Any] | None = None) -> Any:
     if key not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
         if make is not None:
             _KEPT[key] = make()
     return _KEPT.get(key)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import kept, ready_workers
+from loomgraph.llm.common import kept, ready_workers, trim
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -130,8 +130,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     for i, (_, at, value) in enumerate(rows):
         x[i, at] = value
     scale = (1 / np.sqrt(x.mean(axis=0) + 1e-6)).astype(np.float32)
-    x *= scale
-    x *= 3
+    x *= 3 * scale
     own = np.array([r[0] for r in rows], object)
     fam = np.array([family_of(r[0]) for r in rows], object)
     weights, bias, pairs = [], [], []
@@ -154,18 +153,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept()
     for batch in batches:
-        langs, at, value = [], [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        langs, hashes, at, value = [], [], [], []
+        for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             a, v = _frequencies(text)
             if len(a):
                 langs.append(lang)
+                hashes.append(h)
                 at.append(a.astype(np.int32))
                 value.append(v.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "at", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "h", "at", "value"])
 
 
 def sampled(rows: DataFrame, quotas: dict[str, tuple[int, int]]) -> DataFrame:
-    """(lang, text): for each language of rows(lang, h, text), h a hash of the text, the texts of least hash.
+    """(lang, h, text): for each language of rows(lang, h, text), h a hash of the text, the texts of least hash.
 
     quotas: for each language how many distinct texts to take (all if it has fewer) and about how many it has. Hashes
     are ranked, texts stay where they are: a threshold set from the number of texts leaves a rank about four times
@@ -176,7 +176,7 @@ def sampled(rows: DataFrame, quotas: dict[str, tuple[int, int]]) -> DataFrame:
     few = rows.select("lang", "h").join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("upto") * top).distinct()
     ranked = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where("place <= quota")
     chosen = spark.createDataFrame(ranked.select("lang", "h").collect(), "lang string, h long")  # the quotas' sum at most
-    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -193,9 +193,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not counts:
         return Model([], {}, np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     drawn = sampled(rows, {r["lang"]: (max(20, sample // len(counts)), r["n"]) for r in counts})
-    got = drawn.mapInArrow(_features, "lang string, at array<int>, value array<float>").toArrow()
-    rows = [(lang, np.array(a), np.array(v)) for lang, a, v in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
+    got = drawn.mapInArrow(_features, "lang string, h long, at array<int>, value array<float>").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    lists = [got.column(c).combine_chunks() for c in ("at", "value")]
+    cuts = lists[0].offsets.to_numpy()[1:-1]
+    at, value = (np.split(c.values.to_numpy(), cuts) for c in lists)
+    model = fit(list(zip(got.column("lang").to_pylist(), at, value, strict=True)))
+    del got, lists, at, value
+    trim()
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
