@@ -256,7 +256,7 @@ def aggregate(name: str, args: list[Val], distinct: bool, order: list[tuple[Val,
         return Val(F.sum_distinct(v.col) if distinct else F.sum(v.col), out)
     if name == "avg":
         c = v.col.cast("double")
-        return Val(F.expr("avg(distinct x)") if False else F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c), _D)
+        return Val(F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c), _D)
     if name in ("min", "max", "first", "last"):
         return Val({"min": F.min, "max": F.max, "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True)}[name](v.col), v.type)
     if name in ("stdev", "stddev"):
@@ -270,12 +270,7 @@ def aggregate(name: str, args: list[Val], distinct: bool, order: list[tuple[Val,
         return Val(F.collect_set(v.col) if distinct else F.collect_list(v.col), out)
     if len(args) != 2 or not isinstance(args[1].literal, int | float):
         raise QueryError(f"{name} takes a value and a literal share", query, at)
-    p = float(args[1].literal)
-    if name == "percentilecont":
-        return Val(F.percentile(v.col, F.lit(p)), _D)
-    # nearest rank: the first value whose share of rows reaches p
-    kept = F.array_sort(F.collect_list(v.col))
-    return Val(F.get(kept, F.greatest(F.ceil(F.size(kept) * p).cast("int") - 1, F.lit(0))), v.type)
+    return Val(F.percentile(v.col, F.lit(float(args[1].literal))), _D)
 
 
 def _ordered(v: Val, order: list[tuple[Val, bool]], distinct: bool) -> Column:

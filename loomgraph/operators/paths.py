@@ -1,7 +1,8 @@
 """Variable-length paths: enumeration level by level, meeting in the middle, reachability.
 
 All functions work on keys: a struct of label and id, or the id alone where it is unique. Edges are a frame of
-f, t (keys of the ends in the direction of travel) and e (what is collected of an edge).
+f, t (keys of the ends in the direction of travel) and, if a query asks for the relationships, e (what is collected
+of an edge); rows have a column rels only then.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ UNROLL = 3
 
 def start(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Depth-0 rows of seeds(k)."""
-    empty = F.array().cast(f"array<{edges.schema['e'].dataType.simpleString()}>")
-    return seeds.select(F.col("k").alias("s"), F.col("k").alias("n"), F.lit(0).alias("depth"), F.array("k").alias("path"), empty.alias("rels"))
+    return seeds.select(F.col("k").alias("s"), F.col("k").alias("n"), F.lit(0).alias("depth"), F.array("k").alias("path"), *_no_rels(edges))
+
+
+def _no_rels(edges: DataFrame) -> list[Column]:
+    return [F.array().cast(f"array<{edges.schema['e'].dataType.simpleString()}>").alias("rels")] if "e" in edges.columns else []
 
 
 def step(level: DataFrame, edges: DataFrame, circular: bool) -> DataFrame:
@@ -30,7 +34,7 @@ def step(level: DataFrame, edges: DataFrame, circular: bool) -> DataFrame:
         level = level.where((F.col("depth") == 0) | (F.col("n") != F.col("s")))
         new = new | (F.col("t") == F.col("s"))
     longer = level.join(edges, level["n"] == edges["f"]).where(new)
-    return longer.select("s", F.col("t").alias("n"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("t")).alias("path"), F.array_append("rels", F.col("e")).alias("rels"))
+    return longer.select("s", F.col("t").alias("n"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("t")).alias("path"), *([F.array_append("rels", F.col("e")).alias("rels")] if "e" in edges.columns else []))
 
 
 def _open(level: DataFrame, barrier: DataFrame | None) -> DataFrame:
@@ -57,7 +61,7 @@ def levels(seeds: DataFrame, edges: DataFrame, most: int, circular: bool = False
 
 
 def paths(seeds: DataFrame, edges: DataFrame, least: int, most: int, circular: bool = False, barrier: DataFrame | None = None) -> DataFrame:
-    """(s, n, depth, path, rels): node-simple paths of least to most edges from seeds(k).
+    """(s, n, depth, path and maybe rels): node-simple paths of least to most edges from seeds(k).
 
     A circular search gives paths that end where they start; these close once.
     """
@@ -74,7 +78,8 @@ def meeting(seeds: DataFrame, targets: DataFrame, edges: DataFrame, least: int,
     A path of length L is the pair of its first ceil(L / 2) and last floor(L / 2) edges, so each is met once.
     Barriers stop the forward half as in paths(); in the backward half a barrier may only be the target.
     """
-    back_edges = edges.select(F.col("t").alias("f"), F.col("f").alias("t"), "e")
+    more = [c for c in edges.columns if c == "e"]
+    back_edges = edges.select(F.col("t").alias("f"), F.col("f").alias("t"), *more)
     ahead = levels(seeds, edges, (most + 1) // 2, barrier=barrier)
     behind = [start(targets, edges)]
     for _ in range(most // 2):
@@ -93,28 +98,51 @@ def meeting(seeds: DataFrame, targets: DataFrame, edges: DataFrame, least: int,
         if i >= len(ahead) or j >= len(behind):
             continue
         a = ahead[i] if j == 0 else _open(ahead[i], barrier)
-        b = behind[j].select(F.col("s").alias("end"), F.col("n").alias("meet"), F.col("path").alias("path2"), F.col("rels").alias("rels2"))
+        b = behind[j].select(F.col("s").alias("end"), F.col("n").alias("meet"), F.col("path").alias("path2"), *(F.col("rels").alias("rels2") for _ in more))
         rest = F.slice(F.reverse("path2"), 2, F.greatest(F.size("path2") - 1, F.lit(1)))
         rest = F.when(F.size("path2") > 1, rest).otherwise(F.slice("path2", 1, 0))
         met = a.join(b, F.col("n") == F.col("meet")).where(~F.arrays_overlap("path", rest))
-        out.append(met.select("s", F.col("end").alias("n"), F.lit(n).alias("depth"), F.concat("path", rest).alias("path"), F.concat("rels", F.reverse("rels2")).alias("rels")))
+        out.append(met.select("s", F.col("end").alias("n"), F.lit(n).alias("depth"), F.concat("path", rest).alias("path"), *(F.concat("rels", F.reverse("rels2")).alias("rels") for _ in more)))
     return reduce(DataFrame.union, out) if out else start(seeds, edges).where(F.lit(False))
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, least: int, most: int, barrier: DataFrame | None = None) -> DataFrame:
-    """(s, n, depth, path, rels): each node once for each start, at its least depth; path is null, rels the last edge.
+def distances(targets: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(n, left): nodes from which one of targets(k) is at most so many edges away, and the fewest it takes.
+
+    Barriers are not looked at, so some of these nodes may not get there.
+    """
+    level = stored(targets.select(F.col("k").alias("n"), F.lit(0).alias("left")).distinct())
+    seen = level
+    for d in range(1, most + 1):
+        back = level.join(edges, level["n"] == edges["t"]).select(F.col("f").alias("n")).distinct()
+        level = stored(back.join(seen.select("n"), "n", "left_anti").select("n", F.lit(d).alias("left")))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, least: int, most: int, barrier: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(s, n, depth, path and maybe rels): each node once for each start, at its least depth; path is null, rels the last edge.
 
     Breadth-first: a level is the frontier joined with the edges, less what the start has visited. Each level and
     the visited set are written to the shared folder, so lineage stays short and a lost executor costs one level.
+    With targets(k), a search back from these comes first, and nodes from which none is near enough are left out.
     """
     edges = stored(edges)
-    empty = F.array().cast(f"array<{edges.schema['e'].dataType.simpleString()}>")
-    level = seeds.select(F.col("k").alias("s"), F.col("k").alias("n"), F.lit(0).alias("depth"), empty.alias("rels"))
+    rels = "e" in edges.columns
+    near_target = distances(targets, edges, most) if targets is not None else None
+
+    def near_enough(rows: DataFrame, d: int) -> DataFrame:
+        return rows if near_target is None else rows.join(near_target, "n").where(F.col("left") + d <= most).drop("left")
+
+    level = near_enough(seeds.select(F.col("k").alias("s"), F.col("k").alias("n"), F.lit(0).alias("depth"), *_no_rels(edges)), 0)
     visited, found = level.select("s", "n"), [level] if least == 0 else []
     for d in range(1, most + 1):
         near = _open(level, barrier).select("s", "n")
-        reached = near.join(edges, near["n"] == edges["f"]).groupBy("s", F.col("t").alias("n")).agg(F.min("e").alias("e"))
-        level = stored(reached.join(visited, ["s", "n"], "left_anti").select("s", "n", F.lit(d).alias("depth"), F.array("e").alias("rels")))
+        reached = near.join(edges, near["n"] == edges["f"]).select("s", F.col("t").alias("n"), *(["e"] if rels else []))
+        reached = near_enough(reached.groupBy("s", "n").agg(F.min("e").alias("e")) if rels else reached.distinct(), d)
+        level = stored(reached.join(visited, ["s", "n"], "left_anti").select("s", "n", F.lit(d).alias("depth"), *([F.array("e").alias("rels")] if rels else [])))
         if level.isEmpty():
             break
         if d >= least:
@@ -122,6 +150,6 @@ def reachable(seeds: DataFrame, edges: DataFrame, least: int, most: int, barrier
         visited = visited.unionByName(level.select("s", "n"))
     if not found:
         found = [level.where(F.lit(False))]
-    rows = reduce(DataFrame.union, found)
+    rows = reduce(DataFrame.unionByName, found)
     key: Column = F.lit(None).cast(f"array<{rows.schema['n'].dataType.simpleString()}>")
-    return rows.select("s", "n", "depth", key.alias("path"), "rels")
+    return rows.select("s", "n", "depth", key.alias("path"), *(["rels"] if rels else []))

@@ -15,10 +15,11 @@ from loomgraph.functions.values import Val
 from loomgraph.lang import ast as A
 from loomgraph.lang.parser import parse
 from loomgraph.operators import paths
-from loomgraph.operators.frames import HIDDEN, edge_frame, node_frame, same_key
+from loomgraph.operators.frames import HIDDEN, common, edge_frame, node_frame, same_key
 from loomgraph.plans.expressions import Expressions
 from loomgraph.plans.scope import Binding, State
-from loomgraph.sources.graph import PropertyGraph
+from loomgraph.sources.graph import EdgeTable, PropertyGraph
+from loomgraph.storage import stored
 
 _FLIP = {"out": "in", "in": "out", "both": "both"}
 _VOLATILE = {"rand", "random"}
@@ -38,10 +39,17 @@ class Compiler:
         self.reach, self.both = vlp_mode in ("reachability", "procedural"), bidirectional
         #: property names that the query takes from each variable; None: all
         self.used: dict[str, set[str] | None] = {}
+        #: foreign keys of each variable's node that hops may need
+        self.keys: dict[str, set[str]] = {}
+        #: conditions that a search applies to its edges, so that nothing else has to see these
+        self.pushed: list[A.Node] = []
+        #: the logical plan, a line a step
+        self.steps: list[str] = []
+        self.tree: A.Query | None = None
 
     def run(self, query: str) -> DataFrame:
         self.text = query
-        tree = parse(query)
+        self.tree = tree = parse(query)
         self._usage(tree)
         out, names = None, None
         for i, part in enumerate(tree.parts):
@@ -54,10 +62,13 @@ class Compiler:
             out = out.unionByName(df)
             if not tree.alls[i - 1]:
                 out = out.distinct()
+            self.steps.append("union all" if tree.alls[i - 1] else "union, distinct")
         return out
 
     def _usage(self, tree: A.Query) -> None:
-        """Bare uses of a variable need all its properties, n.p needs p."""
+        """Bare uses of a variable need all its properties, n.p needs p. WITH n passes on what later uses need."""
+        passed: list[tuple[str, str]] = []
+
         def visit(x: Any) -> None:
             if isinstance(x, A.Prop) and isinstance(x.base, A.Var):
                 if self.used.get(x.base.name, set()) is not None:
@@ -71,14 +82,57 @@ class Compiler:
             if isinstance(x, A.NodePattern):
                 if x.props and self.used.get(x.var, set()) is not None:
                     self.used.setdefault(x.var, set()).update(k for k, _ in x.props)
+            if isinstance(x, A.Project) and not x.final:
+                for i in x.items:
+                    if isinstance(i.expr, A.Var):
+                        passed.append((i.expr.name, i.alias or i.expr.name))
+                    else:
+                        visit(i.expr)
+                for e in (*(e for e, _ in x.order), x.skip, x.limit, x.where):
+                    if e is not None:
+                        visit(e)
+                return
             for c in A.children(x):
                 if isinstance(c, A.Node | tuple):
                     visit(c)
 
         visit(tree)
+        for _ in passed:
+            for old, new in passed:
+                if old != new and self.used.get(old, set()) is not None:
+                    later = self.used.get(new, set())
+                    self.used[old] = None if later is None else self.used.get(old, set()) | later
+        for q in A.walk(tree):
+            if isinstance(q, A.Pattern):
+                for i, r in enumerate(q.rels):
+                    for e in self.g.edges.values():
+                        if e.of and (not r.types or e.type in r.types):
+                            for n in (q.nodes[i], q.nodes[i + 1]):
+                                self.keys.setdefault(n.var, set()).update((e.src, e.dst))
         if any(isinstance(c, A.Project) and c.star for p in tree.parts for c in p.clauses):
             self.used = dict.fromkeys({n.var for n in A.walk(tree) if isinstance(n, A.NodePattern)})
 
+    def _wanted(self, path: str | None, rels: str) -> set[str]:
+        """Which of "nodes" and "rels" the query takes from a searched path, by its variable or by that of its relationships."""
+        if any(isinstance(c, A.Project) and c.star for p in self.tree.parts for c in p.clauses):
+            return {"nodes", "rels"}
+        out: set[str] = set()
+
+        def visit(x: Any) -> None:
+            if x in self.pushed:
+                return
+            if isinstance(x, A.Call) and len(x.args) == 1 and path is not None and x.args[0] == A.Var(path):
+                out.update({"length": (), "size": (), "nodes": ("nodes",), "relationships": ("rels",), "rels": ("rels",)}.get(x.name, ("nodes", "rels")))
+                return
+            if isinstance(x, A.Var):
+                out.update(("nodes", "rels") if x.name == path else ("rels",) if x.name == rels else ())
+            for c in A.children(x):
+                if isinstance(c, A.Node | tuple):
+                    visit(c)
+
+        visit(self.tree)
+        return out
+
     # helpers
 
     def fresh(self, name: str) -> str:
@@ -126,28 +180,38 @@ class Compiler:
                 self.semi(s, inner, inner is not c)
             else:
                 c = self.flagged(s, c)
+                self.steps.append(f"filter by {', '.join(sorted(n for n in A.free(c) if n[0] != ' ')) or 'a flag'}")
                 s.df = s.df.where(self.exprs(s).col(c))
 
-    def sub(self, s: State, x: A.Node, patterns: tuple[A.Pattern, ...], where: A.Node | None) -> tuple[State, list[tuple[Column, Column, bool]]]:
-        """A pattern as a plan of its own and how it joins the rows: pairs (ours, its, null-safe).
+    def sub(self, s: State, x: A.Node, patterns: tuple[A.Pattern, ...], where: A.Node | None, late: bool = True) -> tuple[State, list[tuple[Column, Column, bool]], list[A.Node]]:
+        """A pattern as a plan of its own and how it joins the rows: pairs (ours, its, null-safe), and more conditions.
 
-        If the pattern needs no more of our variables than the ids of nodes, it starts from its own edges; else it
-        starts from the distinct values of what it needs.
+        If the pattern itself needs no more of our variables than the ids of nodes, it starts from its own edges, and
+        conditions that also speak of our variables are left to the join (if ``late`` allows). Else it starts from the
+        distinct values of what it needs; rows that come from a join are stored first, since they are read twice.
         """
         outer = {n: s.scope[n] for n in A.free(x) if n in s.scope}
         in_nodes = {n.var for p in patterns for n in p.nodes}
-        in_rest = A.free(where) | {n for p in patterns for e in (*p.nodes, *p.rels) for _, v in e.props for n in A.free(v)}
+        in_props = {n for p in patterns for e in (*p.nodes, *p.rels) for _, v in e.props for n in A.free(v)}
         bare = {p.nodes[i].var for p in patterns for i in range(len(p.nodes)) if len(p.rels) and not p.nodes[i].props}
-        simple = all(b.kind == "node" and n in bare and n not in in_rest for n, b in outer.items()) and not any(r.length for p in patterns for r in p.rels) and in_nodes
-        simple = simple and not any(p.nodes[i].labels and p.nodes[i].var in outer for p in patterns for i in range(len(p.nodes)))
+        ends = [n for n in outer if n in in_nodes]
+        left = [c for c in A.conjuncts(where) if A.free(c) & set(outer) and not any(isinstance(q, A.Exists | A.PatternComprehension) for q in A.walk(c))] if late and ends else []
+        own = [c for c in A.conjuncts(where) if c not in left]
+        simple = all(outer[n].kind == "node" and n in bare for n in ends) and not any(r.length or r.var in outer for p in patterns for r in p.rels) and bool(in_nodes)
+        simple = simple and not (in_props | {v for c in own for v in A.free(c)}) & set(outer) and all(n in ends or any(n in A.free(c) for c in left) for n in outer)
+        simple = simple and not any(n.labels and n.var in outer for p in patterns for n in p.nodes)
         t = State()
         if not outer or simple:
-            labels = {n: b.labels for n, b in outer.items()}
-            self.match(t, patterns, where, elide=set(outer), known=labels)
+            self.match(t, patterns, own, elide=set(ends), known={n: outer[n].labels for n in ends})
+            outer = {n: outer[n] for n in ends}
         else:
+            left = []
+            if s.joined and not s.df.isStreaming:
+                self.steps.append("store the rows so far")
+                s.df, s.joined = stored(s.df), False
             cols, scope = [], {}
             for n, b in outer.items():
-                need = {p.name for p in A.walk(x) if isinstance(p, A.Prop) and p.base == A.Var(n)} | {k for q in A.walk(x) if isinstance(q, A.NodePattern) and q.var == n for k, _ in q.props}
+                need = {p.name for p in A.walk(x) if isinstance(p, A.Prop) and p.base == A.Var(n)} | {k for q in A.walk(x) if isinstance(q, A.NodePattern) and q.var == n for k, _ in q.props} | self.keys.get(n, set())
                 whole = any(v == A.Var(n) for v in _bare(x))
                 kept = [f for f in b.type.names if f in HIDDEN or f in need] if b.kind in ("node", "edge") and not whole else None
                 c = self.fresh(n)
@@ -167,7 +231,15 @@ class Compiler:
                 pairs += [(b.col[f], own.col[f], False) for f in ("__type", "__sl", "__src", "__dl", "__dst")]
             else:
                 pairs.append((b.col, own.col, True))
-        return t, pairs
+        return t, pairs, left
+
+    def _left(self, s: State, t: State, keys: DataFrame, cond: Column, left: list[A.Node]) -> Column:
+        """The join's condition with what was left to it; keys has the columns of the pattern's variables."""
+        if left:
+            ex = Expressions({**t.scope, **s.scope}, self.args, self.text, s.df.crossJoin(keys))
+            for c in left:
+                cond = cond & ex.col(c)
+        return cond
 
     def _keys(self, t: State, pairs: list[tuple[Column, Column, bool]], more: list[Column] = ()) -> tuple[DataFrame, Column]:
         """The plan's key columns, and the condition that joins them."""
@@ -180,13 +252,15 @@ class Compiler:
         return df, cond
 
     def semi(self, s: State, e: A.Exists, negated: bool) -> None:
-        t, pairs = self.sub(s, e, e.patterns, e.where)
+        self.steps.append(f"{'anti' if negated else 'semi'} join with:")
+        t, pairs, left = self.sub(s, e, e.patterns, e.where)
         if not pairs:  # says the same of every row
             c = self.fresh("any")
             s.df = s.df.crossJoin(t.df.agg(F.count(F.lit(1)).alias(c))).where(F.col(c) == 0 if negated else F.col(c) > 0).drop(c)
             return
-        keys, cond = self._keys(t, pairs)
-        s.df = s.df.join(keys, cond, "left_anti" if negated else "left_semi")
+        keys, cond = self._keys(t, pairs, [t.scope[n].col.alias(t.scope[n].column) for n in sorted({v for c in left for v in A.free(c)} & set(t.scope) - set(s.scope))])
+        s.df = s.df.join(keys, self._left(s, t, keys, cond, left), "left_anti" if negated else "left_semi")
+        s.joined = True
 
     def flagged(self, s: State, e: Any) -> Any:
         """e with a hidden variable for every EXISTS and pattern comprehension in it, joined to the rows."""
@@ -194,7 +268,8 @@ class Compiler:
             if isinstance(x, A.Quantifier | A.Comprehension | A.Reduce):
                 return x  # a pattern over a lambda variable is refused where it is compiled
             if isinstance(x, A.Exists):
-                t, pairs = self.sub(s, x, x.patterns, x.where)
+                self.steps.append("flag from:")
+                t, pairs, _ = self.sub(s, x, x.patterns, x.where, late=False)
                 c = self.fresh("exists")
                 if not pairs:
                     s.df = s.df.crossJoin(t.df.agg((F.count(F.lit(1)) > 0).alias(c)))
@@ -205,7 +280,8 @@ class Compiler:
                 s.scope[f" {c}"] = Binding("value", c, T.BooleanType())
                 return A.Var(f" {c}")
             if isinstance(x, A.PatternComprehension):
-                t, pairs = self.sub(s, x, (x.pattern,), x.where)
+                self.steps.append("list from:")
+                t, pairs, _ = self.sub(s, x, (x.pattern,), x.where, late=False)
                 out = self.exprs(t)
                 v = out.val(x.out)
                 c = self.fresh("list")
@@ -222,7 +298,7 @@ class Compiler:
 
     # patterns
 
-    def match(self, s: State, patterns: tuple[A.Pattern, ...], where: A.Node | None, elide: set[str] = frozenset(), known: dict[str, tuple[str, ...]] | None = None) -> None:
+    def match(self, s: State, patterns: tuple[A.Pattern, ...], where: A.Node | list[A.Node] | None, elide: set[str] = frozenset(), known: dict[str, tuple[str, ...]] | None = None) -> None:
         """Joins the patterns to the rows and keeps what ``where`` allows, each conjunct as soon as it can be said."""
         labels: dict[str, tuple[str, ...]] = dict(known or {})
         for p in patterns:
@@ -233,7 +309,7 @@ class Compiler:
                     if n.var in labels and len(labels[n.var]) == 1 and labels[n.var] != n.labels:
                         raise BindingError(f"{n.var!r} has label {labels[n.var][0]!r} and {n.labels[0]!r}", self.text, n.at)
                     labels[n.var] = n.labels
-        pending = A.conjuncts(where)
+        pending = list(where) if isinstance(where, list) else A.conjuncts(where)
         for p in patterns:
             for x in (*p.nodes, *(r for r in p.rels if r.length is None)):
                 pending += [A.Binary("=", A.Prop(A.Var(x.var, x.at), k, x.at), v) for k, v in x.props]
@@ -243,8 +319,11 @@ class Compiler:
                 if not isinstance(c, A.Exists) and not any(isinstance(q, A.Exists | A.PatternComprehension) for q in A.walk(c)):
                     raise BindingError(f"unknown variable {v!r}{did_you_mean(v, [n for n in names if n[0] != ' '])}", self.text, next((q.at for q in A.walk(c) if q == A.Var(v)), None))
         self._terminators(pending, patterns)
-        for p in patterns:
-            self.pattern(s, p, labels, pending, elide, names)
+        if any(r.length for p in patterns for r in p.rels):
+            for p in patterns:
+                self.pattern(s, p, labels, pending, elide, names)
+        else:
+            self.hops(s, patterns, labels, pending, elide, names)
         self._ready(s, pending, names, last=True)
 
     def _ready(self, s: State, pending: list[A.Node], names: set[str], last: bool = False) -> None:
@@ -267,6 +346,136 @@ class Compiler:
                     if not A.free(q) <= ends or len(A.free(q)) != 1:
                         raise QueryError("is_terminator speaks of the target of the variable-length pattern only", self.text, q.at)
 
+    def hops(self, s: State, patterns: tuple[A.Pattern, ...], labels: dict, pending: list[A.Node], elide: set[str], names: set[str]) -> None:
+        """Patterns of fixed length, joined in the order that multiplies rows least.
+
+        First come hops between nodes that are both known, then hops that find one node for each row (a foreign key
+        in the row), then others, those from nodes that stand above many rows last, else in the order of the text.
+        Where nothing is known yet, the start is the node from which the fewest hops multiply rows.
+        """
+        for p in patterns:
+            for n in p.nodes:
+                if n.var in s.scope and s.scope[n.var].kind != "node":
+                    raise BindingError(f"{n.var!r} is no node", self.text, n.at)
+        steps: dict[tuple[int, int], dict] = {}
+        lazy = lambda n: n.var in elide or (self.g.assume_referential_integrity and not self._needs(n, labels, s))
+        todo = [(k, i) for k, p in enumerate(patterns) for i in range(len(p.rels))]
+        ends = {(k, i): (patterns[k].nodes[i], patterns[k].nodes[i + 1]) for k, i in todo}
+
+        def rank(x: tuple[int, int], known: dict[str, int]) -> tuple[int, int] | None:
+            """0: closes a circle, 1: finds one node a row, 2: multiplies rows, and how far up the known end is; None: out of reach."""
+            a, b = ends[x]
+            if a.var in known and b.var in known:
+                return 0, 0
+            if a.var not in known and b.var not in known:
+                return None
+            return 1 if self._to_one(s, a, patterns[x[0]].rels[x[1]], b, labels, a.var in known) else 2, known[a.var if a.var in known else b.var]
+
+        def learn(x: tuple[int, int], known: dict[str, int]) -> None:
+            """A node found by a foreign key stands above many rows: hops down from there make all pairs of these and what is found."""
+            r = rank(x, known)
+            for n in ends[x]:
+                known.setdefault(n.var, r[1] + 1 if r[0] == 1 else 0)
+
+        def cost(start: str) -> int:
+            known, rest, total = {start: 0}, set(todo), 0
+            while reach := [(r, x) for x in rest if (r := rank(x, known)) is not None]:
+                r, x = min(reach)
+                total += (1 + r[1]) * (r[0] == 2)
+                learn(x, known)
+                rest.remove(x)
+            return total
+
+        def take(x: tuple[int, int], a: A.NodePattern, b: A.NodePattern, origin: Binding | None) -> None:
+            r = patterns[x[0]].rels[x[1]]
+            steps[x] = self.hop(s, origin, a, r, b, r.direction if a is ends[x][0] else _FLIP[r.direction], labels, lazy)
+            todo.remove(x)
+            self._ready(s, pending, names)
+
+        known: dict[str, int] = dict.fromkeys(s.scope, 0)
+        for k, p in enumerate(patterns):
+            while not p.rels and p.nodes[0].var not in s.scope or any(x[0] == k for x in todo):
+                reach = [(r, x) for x in todo if (r := rank(x, known)) is not None]
+                if reach:
+                    x = min(reach)[1]
+                    a, b = ends[x] if ends[x][0].var in known else ends[x][::-1]
+                    learn(x, known)
+                    take(x, a, b, s.scope[a.var])
+                    continue
+                # the nodes that hang together with this pattern's first
+                near = {p.nodes[0].var}
+                while (grown := near | {n.var for x in todo if any(m.var in near for m in ends[x]) for n in ends[x]}) != near:
+                    near = grown
+                order = list({n.var: n for q in patterns for n in q.nodes if n.var in near}.values())
+                start = min(order, key=lambda n: cost(n.var))
+                first = next((x for x in todo if start.var in {n.var for n in ends[x]} and ends[x][0].var != ends[x][1].var), None)
+                if lazy(start) and first is not None:
+                    a, b = ends[first] if ends[first][0].var == start.var else ends[first][::-1]
+                    known |= {a.var: 0, b.var: 0}
+                    take(first, a, b, None)
+                else:
+                    known[start.var] = 0
+                    self.scan(s, start, labels)
+                    self._ready(s, pending, names)
+        for k, p in enumerate(patterns):
+            if p.path:
+                self.path(s, p, [steps[k, i] for i in range(len(p.rels))])
+                self._ready(s, pending, names)
+
+    def _single(self, r: A.RelPattern, direction: str, la: tuple[str, ...], lb: tuple[str, ...]) -> tuple[EdgeTable, str] | None:
+        """The one foreign key that a hop stands for, and which side of the hop ("near" or "far") has it in its row."""
+        ahead = self.g.triples(r.types, la, lb) if direction in ("out", "both") else []
+        back = self.g.triples(r.types, lb, la) if direction in ("in", "both") else []
+        if len(ahead) + len(back) != 1 or self.g.triple is not None:
+            return None
+        e = (ahead or back)[0]
+        return (e, "near" if (e.of == "source") == bool(ahead) else "far") if e.of else None
+
+    def _to_one(self, s: State, a: A.NodePattern, r: A.RelPattern, b: A.NodePattern, labels: dict, forward: bool) -> bool:
+        la, lb = (tuple(self.g.labels(s.scope[n.var].labels if n.var in s.scope else labels.get(n.var, ()))) for n in (a, b))
+        one = self._single(r, r.direction, la, lb)
+        return one is not None and one[1] == ("near" if forward else "far")
+
+    def in_row(self, s: State, origin: Binding, r: A.RelPattern, b: A.NodePattern, direction: str, la: tuple[str, ...], lb: tuple[str, ...], lazy) -> Binding | None:
+        """A hop over a foreign key in a row that is at hand anyway: no join for the edge. Gives the edge, or None if it can't."""
+        one = self._single(r, direction, la, lb)
+        if one is None or r.var in s.scope:
+            return None
+        e, side = one
+        own = e.source if e.of == "source" else e.target
+        other = e.target if e.of == "source" else e.source
+        fk = e.dst if e.of == "source" else e.src
+        if side == "near":
+            if origin.labels != (own,) or not {e.src, e.dst} <= set(origin.type.names):
+                return None
+            row, key, kind = origin, origin.col[fk], origin.field_type(fk)
+        else:
+            if b.var in s.scope or lazy(b):
+                return None
+            n = self.fresh(b.var)
+            nodes = node_frame(self.g, (own,)).withColumnRenamed("x", n)
+            row = self._node(n, nodes.schema[n].dataType, (own,))
+            s.df, s.joined = s.df.join(nodes, self._joins(origin, row.col[fk], row.field_type(fk), F.lit(other) if len(la) > 1 else None)), True
+            s.scope[b.var] = row
+        kinds = common([row.field_type(e.src), row.field_type(e.dst)])
+        text = {"__type": e.type, "__sl": e.source, "__dl": e.target}
+        c = self.fresh(r.var)
+        fields = [*(F.lit(v).alias(k) for k, v in text.items()), row.col[e.src].cast(kinds).alias("__src"), row.col[e.dst].cast(kinds).alias("__dst"), *(row.col[x].alias(x) for x in dict.fromkeys((e.src, e.dst)))]
+        if side == "near":
+            if b.var in s.scope:
+                s.df = s.df.where(self._joins(s.scope[b.var], key, kind, F.lit(other) if len(lb) > 1 else None))
+            elif lazy(b):
+                s.df = s.df.where(key.isNotNull())
+                self._from_edge(s, b.var, key, F.lit(other), (other,))
+            else:
+                n = self.fresh(b.var)
+                nodes = node_frame(self.g, (other,)).withColumnRenamed("x", n)
+                far = self._node(n, nodes.schema[n].dataType, (other,))
+                s.df, s.joined = s.df.join(nodes, self._joins(far, key, kind, None)), True
+                s.scope[b.var] = far
+        s.df = s.df.withColumn(c, F.struct(*fields))
+        return Binding("edge", c, s.df.schema[c].dataType)
+
     def pattern(self, s: State, p: A.Pattern, labels: dict, pending: list[A.Node], elide: set[str], names: set[str]) -> None:
         at = next((i for i, n in enumerate(p.nodes) if n.var in s.scope and s.scope[n.var].kind == "node"), None)
         for n in p.nodes:
@@ -312,6 +521,7 @@ class Compiler:
         if not own:
             raise BindingError("the graph has no nodes", self.text, n.at)
         c = self.fresh(n.var)
+        self.steps.append(f"scan {n.var}:{'|'.join(own)}{'' if s.df is None else ' (cross join)'}")
         df = node_frame(self.g, own).withColumnRenamed("x", c)
         s.df = df if s.df is None else s.df.crossJoin(df)
         s.scope[n.var] = self._node(c, df.schema[c].dataType, own)
@@ -352,6 +562,14 @@ class Compiler:
         """
         la, lb = self._labels_of(s, a, labels), self._labels_of(s, b, labels)
         ahead, back = self._tables(r, direction, la, lb)
+        known = b.var in s.scope
+        arrow = {"out": "->", "in": "<-", "both": "--"}[direction]
+        found = self.in_row(s, origin, r, b, direction, la, lb, lazy) if origin is not None else None
+        self.steps.append(f"hop {a.var} {arrow} {b.var}{' (known)' if known else ''} by {'|'.join(sorted({e.type for e in (*ahead, *back)}))}{', in the row' if found else ''}")
+        if found is not None:
+            s.scope[r.var] = found
+            return {"edge": found, "near": a.var, "far": b.var}
+        s.joined = True
         c, f, t = self.fresh(r.var), self.fresh("from"), self.fresh("to")
         edges = edge_frame(self.g, ahead, back).toDF(c, f, t)
         key = edges.schema[f].dataType["id"].dataType
@@ -445,8 +663,10 @@ class Compiler:
         for c in list(pending):
             if isinstance(c, A.Quantifier) and c.kind == "ALL" and c.items in whole and A.free(c.where) <= {c.var}:
                 pending.remove(c)
+                self.pushed.append(c)
                 frame = frame.where(on_edges.within(**{c.var: Val(F.col("e"), frame.schema["e"].dataType)}).col(c.where))
-        frame = frame.select("f", "t", "e")
+        rels_wanted = "rels" in self._wanted(p.path, r.var)
+        frame = frame.select("f", "t", *(["e"] if rels_wanted else []))
         barrier = None
         for c in list(pending):
             if isinstance(c, A.Call) and c.name == "is_terminator" and A.free(c) == {b.var}:
@@ -463,20 +683,24 @@ class Compiler:
         own = key(origin.col["__label"], origin.col["__id"])
         seeds = s.df.select(own.alias("k")).where(F.col("k").isNotNull() if plain else F.col("k.id").isNotNull()).distinct()
         circular = a.var == b.var
-        targets = self._targets(s, b, lb, pending, key, a) if not circular and not self.reach else None
+        targets = self._targets(s, b, lb, pending, key, a) if not circular else None
+        self.steps.append(f"search {a.var} to {b.var}, {least} to {most} edges of {'|'.join(sorted({e.type for e in (*tables, *back)}))}{', each node once' if self.reach else ''}{', from both ends' if targets is not None else ''}{', with relationships' if rels_wanted else ''}")
         if self.reach:
-            found = paths.reachable(seeds, frame, least, most, barrier)
+            found = paths.reachable(seeds, frame, least, most, barrier, targets)
         elif targets is not None and most > 1:
             found = paths.meeting(seeds, targets, frame, least, most, barrier)
         else:
             found = paths.paths(seeds, frame, least, most, circular, barrier)
+        if not rels_wanted:
+            found = found.withColumn("rels", F.lit(None).cast("array<struct<src:string,dst:string>>"))
         found = found.toDF(s_, n_, depth, path, rels)
+        s.joined = True
         s.df = s.df.join(found, own == F.col(s_))
         if not circular:
             if b.var in s.scope:
                 far = s.scope[b.var]
                 s.df = s.df.where(key(far.col["__label"], far.col["__id"]) == F.col(n_))
-            elif lazy(b) and len(lb) == 1 and (plain or True):
+            elif lazy(b) and len(lb) == 1:
                 end = F.col(n_) if plain else F.col(f"{n_}.id")
                 if not plain:
                     s.df = s.df.where(F.col(f"{n_}.label") == lb[0])
@@ -499,7 +723,7 @@ class Compiler:
 
         def fixed(var: str, own: tuple[str, ...]) -> bool:
             ids = {self.g.nodes[x].id for x in own}
-            said = [c for c in pending] + [c for c in self._said if True]
+            said = [*pending, *self._said()]
             return len(ids) == 1 and any(isinstance(c, A.Binary) and c.op == "=" and any(x == A.Prop(A.Var(var), i) and isinstance(y, A.Lit | A.Param) for x, y in ((c.left, c.right), (c.right, c.left))) for c in said for i in ids)
 
         if b.var in s.scope:
@@ -517,10 +741,10 @@ class Compiler:
         n = end.scope[b.var].col
         return end.df.select(key(n["__label"], n["__id"]).alias("k")).distinct()
 
-    @property
     def _said(self) -> list[A.Node]:
-        """Equalities with constants anywhere in the query, filters already applied among them."""
-        return [c for c in A.walk(parse(self.text)) if isinstance(c, A.Binary) and c.op == "="] + [A.Binary("=", A.Prop(A.Var(n.var), k), v) for n in A.walk(parse(self.text)) if isinstance(n, A.NodePattern) for k, v in n.props]
+        """What every match of the query holds to: conjuncts of WHERE and properties of its patterns, applied or not."""
+        whole = [m for part in self.tree.parts for m in part.clauses if isinstance(m, A.Match) and not m.optional]
+        return [c for m in whole for c in A.conjuncts(m.where)] + [A.Binary("=", A.Prop(A.Var(n.var), k), v) for m in whole for p in m.patterns for n in p.nodes for k, v in n.props]
 
     def path(self, s: State, p: A.Pattern, steps: list[dict]) -> None:
         """Binds a path: length, ids of nodes and structs of relationships in the order of the pattern."""
@@ -533,8 +757,6 @@ class Compiler:
                 nodes, rels = F.reverse(nodes), F.reverse(rels)
         else:
             ids = [s.scope[n.var].field_type("__id") for n in p.nodes] + [s.df.select(x["path"].alias("y")).schema["y"].dataType.elementType for x in steps if "path" in x]
-            from loomgraph.operators.frames import common
-
             kind = common(ids)
             nodes = F.array(start.col["__id"].cast(kind))
             length, lists, names = F.lit(0), [], []
@@ -569,11 +791,12 @@ class Compiler:
         """A left join with the whole pattern; its WHERE decides what matches, not which rows stay."""
         new = [x.var for p in clause.patterns for x in (*p.nodes, *p.rels) if x.var not in s.scope] + [p.path for p in clause.patterns if p.path]
         whole = A.Exists(clause.patterns, clause.where)
-        t, pairs = self.sub(s, whole, clause.patterns, clause.where)
+        self.steps.append("left join with:")
+        t, pairs, left = self.sub(s, whole, clause.patterns, clause.where)
         kept = [n for n in dict.fromkeys(new) if n in t.scope]
         keys, cond = self._keys(t, pairs, [t.scope[n].col.alias(t.scope[n].column) for n in kept])
         names = [c for c in keys.columns if c not in {t.scope[n].column for n in kept}]
-        s.df = s.df.join(keys, cond, "left").drop(*names)
+        s.df, s.joined = s.df.join(keys, self._left(s, t, keys, cond, left), "left").drop(*names), True
         for n in kept:
             s.scope[n] = t.scope[n]
 
@@ -590,6 +813,7 @@ class Compiler:
         names = self._names(items, clause.final)
         grouped = any(_has_aggregate(i.expr) for i in items)
         before = s.copy()
+        self.steps.append(f"{'aggregate' if grouped else 'project'} {', '.join(names)}{', distinct' if clause.distinct else ''}{', sorted' if clause.order else ''}{', some rows' if clause.skip is not None or clause.limit is not None else ''}")
         if grouped:
             after, mapping = self.aggregate(s, items, names)
         else:
@@ -633,7 +857,7 @@ class Compiler:
             after.df = after.df.select(*out)
         elif extra:
             after.df = after.df.drop(*extra)
-        s.df, s.scope = after.df, after.scope
+        s.df, s.scope, s.joined = after.df, after.scope, after.joined
 
     def _names(self, items: list[A.Item], final: bool) -> list[str]:
         out: list[str] = []
@@ -688,7 +912,7 @@ class Compiler:
             cols.append(v.col.alias(c))
             scope[n] = (c, v)
         df = s.df.select(*cols, *extra)
-        return State(df, {n: self._bound(c, v, df) for n, (c, v) in scope.items()})
+        return State(df, {n: self._bound(c, v, df) for n, (c, v) in scope.items()}, s.joined)
 
     def _bound(self, c: str, v: Val, df: DataFrame) -> Binding:
         b = v.binding
@@ -703,20 +927,22 @@ class Compiler:
         for _ in range(len(items)):
             items = [replace(i, expr=A.substitute(i.expr, {k: v for k, v in siblings.items() if k != n})) for i, n in zip(items, names, strict=True)]
         ex = self.exprs(s)
-        groups, carried, keys, aggs = [], [], {}, {}
+        groups, carried, rebuilt, keys, aggs = [], [], [], {}, {}
         shape: dict[str, tuple[str, Val]] = {}
         for i, n in zip(items, names, strict=True):
             if _has_aggregate(i.expr):
                 continue
             v = ex.val(i.expr)
             c = self.fresh(n)
-            if v.kind in ("node", "edge"):
-                ids = ("__label", "__id") if v.kind == "node" else ("__type", "__sl", "__src", "__dl", "__dst")
-                if v.kind == "node":
-                    groups += [v.col[f].alias(self.fresh("by")) for f in ids]
-                    carried.append(F.first(v.col).alias(c))
-                else:
-                    groups.append(v.col.alias(c))
+            if v.kind == "node":
+                # an id stands for one node, so its properties are keys too: hash aggregation carries no structs
+                used = self._carried(i.expr, n)
+                own = [f for f in v.type.names if f in ("__id", "__label") or used is None or f in used]
+                flat = {f: self.fresh("by") for f in own if not isinstance(v.type[f].dataType, T.MapType)}
+                groups += [v.col[f].alias(k) for f, k in flat.items()]
+                maps = {f: self.fresh("by") for f in own if f not in flat}
+                carried += [F.first(v.col[f]).alias(k) for f, k in maps.items()]
+                rebuilt.append(F.when(F.col(flat["__id"]).isNotNull(), F.struct(*(F.col((flat | maps)[f]).alias(f) for f in own))).alias(c))
             else:
                 groups.append(v.col.alias(c))
             keys[i.expr] = (n, c)
@@ -741,7 +967,9 @@ class Compiler:
         for c, col in pre:
             df = df.withColumn(c, col)
         columns = [v.col.alias(c) for c, v in aggs.values()] + carried
-        df = df.groupBy(*groups).agg(*columns)
+        df = df.groupBy(*groups).agg(*columns) if columns else df.select(*groups).distinct()
+        if rebuilt:
+            df = df.select("*", *rebuilt)
         inner = {f" {c}": self._bound(c, v, df) for c, v in shape.values()} | {f" {c}": Binding("value", c, df.schema[c].dataType) for c, _ in aggs.values()}
         mid = State(df, inner)
         ex2 = self.exprs(mid)
@@ -760,7 +988,7 @@ class Compiler:
                 cols.append(v.col.alias(c))
                 scope[n] = (c, v)
         out = df.select(*cols)
-        after = State(out, {n: self._bound(c, v, out) for n, (c, v) in scope.items()})
+        after = State(out, {n: self._bound(c, v, out) for n, (c, v) in scope.items()}, True)
         results = {i.expr: n for i, n in zip(items, names, strict=True)}
 
         def mapping(x: A.Node) -> A.Node | None:
@@ -770,6 +998,13 @@ class Compiler:
 
         return after, mapping
 
+    def _carried(self, e: A.Node, alias: str) -> set[str] | None:
+        """Properties of a grouped node that later clauses may use; None: all."""
+        names = {alias} | ({e.name} if isinstance(e, A.Var) else set())
+        if not isinstance(e, A.Var) or any(self.used.get(n, set()) is None for n in names):
+            return None
+        return {f for n in names for f in self.used.get(n, set()) | self.keys.get(n, set())}
+
     def _aggregate(self, ex: Expressions, x: A.Call, pre: list[tuple[str, Column]]) -> Val:
         if x.star:
             return Val(F.count(F.lit(1)), T.LongType())
@@ -785,7 +1020,9 @@ class Compiler:
                 args[0] = ex.shown(v)
         elif v is not None and v.kind == "path":
             args[0] = ex.shown(v)
-        if x.name == "percentiledisc" and len(args) == 2 and isinstance(args[1].literal, int | float):
+        if x.name == "percentiledisc":
+            if len(args) != 2 or not isinstance(args[1].literal, int | float):
+                raise QueryError("percentiledisc takes a value and a literal share", self.text, x.at)
             c = self.fresh("value")
             pre.append((c, args[0].col))
             return Val(F.expr(f"percentile_disc({float(args[1].literal)}) within group (order by `{c}`)"), args[0].type)

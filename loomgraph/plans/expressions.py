@@ -136,7 +136,7 @@ class Expressions:
     def _haslabels(self, e: A.HasLabels) -> Val:
         v = self.val(e.arg)
         if v.kind == "node":
-            return Val(F.lit(True) if False else v.col["__label"].isin(list(e.labels)) if len(e.labels) == 1 else F.lit(False), _B)
+            return Val(v.col["__label"].isin(list(e.labels)) if len(e.labels) == 1 else F.lit(False), _B)
         if v.kind == "edge":
             return Val(v.col["__type"].isin(list(e.labels)), _B)
         raise QueryError("a label test takes a node or a relationship")

@@ -30,10 +30,14 @@ class Binding:
 
 @dataclass
 class State:
-    """The rows so far and the variables in them. df is None before the first clause."""
+    """The rows so far and the variables in them. df is None before the first clause.
+
+    joined: the rows come from a join, so computing them twice is worth avoiding.
+    """
 
     df: DataFrame | None = None
     scope: dict[str, Binding] = field(default_factory=dict)
+    joined: bool = False
 
     def copy(self) -> State:
-        return State(self.df, dict(self.scope))
+        return State(self.df, dict(self.scope), self.joined)

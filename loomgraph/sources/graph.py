@@ -6,6 +6,8 @@ and types come from the DataFrames; nothing is declared twice.
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -34,6 +36,8 @@ class EdgeTable:
     df: DataFrame
     src: str
     dst: str
+    #: "source" or "target" where every row is also that end's row in its node table, which has both columns
+    of: str | None = None
 
     @property
     def props(self) -> list[str]:
@@ -70,16 +74,29 @@ class PropertyGraph:
         self.nodes[label] = NodeTable(label, (df if where is None else df.where(where)).withColumnsRenamed(rename), rename.get(id, id))
         return self
 
-    def add_edges(self, source: str, type: str, target: str, df: DataFrame, src: str, dst: str, where: Column | str | None = None, rename: dict[str, str] | None = None) -> PropertyGraph:
-        """Edges of a type between two labels; src and dst are the columns with the ids of their ends."""
+    def add_edges(self, source: str, type: str, target: str, df: DataFrame | None = None, src: str = "", dst: str = "", where: Column | str | None = None, rename: dict[str, str] | None = None, of: str | None = None) -> PropertyGraph:
+        """Edges of a type between two labels; src and dst are the columns with the ids of their ends.
+
+        of: the edges are foreign keys in the node table of their "source" or "target"; then no df is given, and src
+        and dst are properties of that node. Hops over such edges read the node's row and join nothing for the edge.
+        """
         for label in (source, target):
             if label not in self.nodes:
                 raise BindingError(f"edge type {type!r}: no node label {label!r}{did_you_mean(label, list(self.nodes))}")
+        if of is not None:
+            if of not in ("source", "target") or df is not None or where is not None or rename:
+                raise BindingError(f"edge type {type!r}: of is 'source' or 'target', without a table of its own")
+            node = self.nodes[source if of == "source" else target]
+            if (src if of == "source" else dst) != node.id:
+                raise BindingError(f"edge type {type!r}: {of} is identified by {node.id!r}")
+            df = node.df
         for c in (src, dst):
             if c not in df.columns:
                 raise BindingError(f"edge type {type!r}: no column {c!r}{did_you_mean(c, df.columns)}")
+        if of is not None:
+            df = df.select(*dict.fromkeys((src, dst))).where(F.col(f"`{src}`").isNotNull() & F.col(f"`{dst}`").isNotNull())
         rename = rename or {}
-        self.edges[source, type, target] = EdgeTable(source, type, target, (df if where is None else df.where(where)).withColumnsRenamed(rename), rename.get(src, src), rename.get(dst, dst))
+        self.edges[source, type, target] = EdgeTable(source, type, target, (df if where is None else df.where(where)).withColumnsRenamed(rename), rename.get(src, src), rename.get(dst, dst), of)
         return self
 
     # lookup
@@ -116,14 +133,21 @@ class PropertyGraph:
 
     def explain(self, query: str, parameters: dict | None = None, mode: str = "formatted", **how) -> str:
         """Text of the plan that Spark would run."""
-        df = self.cypher(query, parameters, **how)
-        return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            self.cypher(query, parameters, **how).explain(mode)
+        return out.getvalue()
+
+    def plan(self, query: str, parameters: dict | None = None, *, vlp_mode: str = "paths", bidirectional: str = "auto", **more) -> str:
+        """The logical plan of a query, a step a line in the order of execution: scans, hops, searches, filters, projections.
 
-    def plan(self, query: str) -> str:
-        """The query's clauses, one a line."""
-        from loomgraph.lang.parser import parse
+        Searches of more than a few levels run while they are compiled, so for those this takes as long as the query.
+        """
+        from loomgraph.plans.compiler import Compiler
 
-        return "\n".join(f"{'UNION ' if i else ''}{type(c).__name__} {c}" for i, p in enumerate(parse(query).parts) for c in p.clauses)
+        compiler = Compiler(self, {**(parameters or {}), **more}, vlp_mode=vlp_mode, bidirectional=bidirectional)
+        compiler.run(query)
+        return "\n".join(compiler.steps)
 
     def create_views(self, prefix: str = "") -> list[str]:
         """Registers every node and edge DataFrame as a temporary view; returns the names."""
