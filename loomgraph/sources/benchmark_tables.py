@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.sources.graph import PropertyGraph
+from loomgraph.sources.graph import PropertyGraph, from_yaml, triple_store
 
 
 def _short(columns: list[str], prefix: str) -> dict[str, str]:
@@ -58,3 +58,40 @@ def _tables(spark: SparkSession, sf_dir: str, **options) -> PropertyGraph:
     after = events.select(F.col("event_id").alias("src"), F.lead("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst"))
     g.add_edges("Event", "THEN", "Event", after.where("dst is not null"), "src", "dst")
     return g
+
+
+def ring_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Nations as places on a ring, with steps to the next place and leads across it: circles, branches and a self-loop."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    key = F.col("n_nationkey")
+    ways = nation.select(key.alias("src"), (key % 4).alias("w"), ((key + 1) % 25).alias("step"), ((key * 3 + 1) % 25).alias("lead"))
+    g = PropertyGraph(spark)
+    g.add_nodes("Place", nation, "n_nationkey", rename=_short(nation.columns, "n_"))
+    g.add_edges("Place", "STEPS", "Place", ways.select("src", F.col("step").alias("dst"), "w"), "src", "dst")
+    return g.add_edges("Place", "LEADS", "Place", ways.select("src", F.col("lead").alias("dst"), "w"), "src", "dst")
+
+
+def triples_graph(spark: SparkSession, sf_dir: str, **options) -> PropertyGraph:
+    """Customers, suppliers, nations and regions in one table of nodes and one of edges."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    node = lambda df, sign, key, name, kind: df.select(F.concat(F.lit(sign), key).alias("node_id"), F.lit(kind).alias("node_type"), F.col(name).alias("name"))
+    edge = lambda df, a, src, b, dst, kind: df.select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"), F.lit(kind).alias("relationship_type"))
+    nodes = node(t("customer"), "C", "c_custkey", "c_name", "Customer").union(node(t("supplier"), "S", "s_suppkey", "s_name", "Supplier"))
+    nodes = nodes.union(node(t("nation"), "N", "n_nationkey", "n_name", "Nation")).union(node(t("region"), "R", "r_regionkey", "r_name", "Region"))
+    edges = edge(t("customer"), "C", "c_custkey", "N", "c_nationkey", "LIVES_IN").union(edge(t("supplier"), "S", "s_suppkey", "N", "s_nationkey", "WORKS_IN"))
+    return triple_store(nodes, edges.union(edge(t("nation"), "N", "n_nationkey", "R", "n_regionkey", "PART_OF")), **options)
+
+
+SCHEMA = """
+schema:
+  nodes:
+    - {name: Nation, tableName: warehouse.geo.nation, idProperty: {name: n_nationkey, type: bigint}}
+    - {name: Region, tableName: warehouse.geo.region, idProperty: {name: r_regionkey, type: bigint}}
+  edges:
+    - {name: PART_OF, sourceNode: Nation, sinkNode: Region, tableName: geo.nation, sourceIdProperty: {name: n_nationkey}, sinkIdProperty: {name: n_regionkey}}
+"""
+
+
+def schema_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Nations and regions by a YAML schema whose table names have one to three parts."""
+    return from_yaml(spark, SCHEMA, {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "region")})
