@@ -1,6 +1,6 @@
 import pytest
 
-from graphs import company, people
+from graphs import company, rivers
 from loomgraph.errors import BindingError, QueryError, UnsupportedError
 
 
@@ -38,6 +38,6 @@ def test_errors_say_what_is_wrong(spark, query, error, says):
 
 def test_place_is_shown(spark):
     with pytest.raises(BindingError) as e:
-        people(spark).cypher("MATCH (a:Person)\nRETURN a.agge AS x")
+        rivers(spark).cypher("MATCH (a:River)\nRETURN a.lenght AS x")
     assert "line 2" in str(e.value)
-    assert "did you mean age" in str(e.value)
+    assert "did you mean length" in str(e.value)
