@@ -183,7 +183,9 @@ def compare_edited(docs: DataFrame, seed: int = SEED, partitions: int | None = N
     """Each document of docs(doc_id, text) with its edited text and with the next document by ascending doc_id.
 
     The edited text has its last quarter replaced by as much of the next document's beginning; the last document
-    is followed by the first, a single one by itself. Null texts are empty; null ids come first; ties go by text.
+    is followed by the first, a single one by itself. Null texts are empty; null ids come first; ties go by text; an
+    empty table gives an empty one; very long texts are read whole; other columns of docs, whatever their names, are
+    not read. A code point above 255 is walked by an eighth of its hash: texts in such scripts look a little more alike.
     Texts are shuffled once, into ranges of ids; neighbours in different ranges meet by the number of the range,
     so only two texts a range move again.
     """
@@ -219,31 +221,78 @@ def fingerprints(docs: DataFrame, seed: int = SEED, bands: int = 12, bits: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_print, seed=seed, bands=bands, bits=bits), "doc_id long, fingerprint string, bands array<string>")
 
 
+def likeness_to(w: Walker, one: Print, steps: np.ndarray, octaves: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Walker.likeness of a fingerprint with many others at once; bits (fingerprints x octaves x OCTAVE) is padded."""
+    total = np.maximum(one.steps, steps)
+    agree = np.zeros(len(steps))
+    for k in range(min(len(one.bits), bits.shape[1])):
+        low, high = (OCTAVE << (k - 1) if k else 0), (OCTAVE << k if k else OCTAVE)
+        inside = np.searchsorted(w.sample(k)[0], total)
+        same = np.cumsum(bits[:, k] == one.bits[k], axis=1)[np.arange(len(steps)), np.maximum(inside, 1) - 1]
+        agree += np.where((octaves > k) & (inside > 0), (np.minimum(high, total) - low) * (2 * same / np.maximum(inside, 1) - 1), 0.0)
+    return np.clip(agree / np.maximum(total, 1), 0, 1)
+
+
 def _alike(batches: Iterator[pa.RecordBatch], seed: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (band, low, high, part, rep, fingerprint) sorted by the first three to links that join what is not yet joined."""
     w = walker(seed)
+
+    def links(rows: list[tuple[int, int, str]], low: int, high: int) -> pa.RecordBatch:
+        asks = [r for r in rows if r[0] == low]
+        told = asks if low == high else [r for r in rows if r[0] == high]
+        prints = [Print.parse(r[2]) for r in told]
+        octaves = np.array([len(p.bits) for p in prints], np.int64)
+        bits = np.zeros((len(prints), octaves.max(initial=0), OCTAVE), np.uint8)
+        for p, b in zip(prints, bits, strict=True):
+            b[: len(p.bits)] = p.bits
+        steps, root, a, b = np.array([p.steps for p in prints], np.int64), {}, [], []
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for i, (_, rep, text) in enumerate(asks):
+            first = i + 1 if low == high else 0
+            hit = likeness_to(w, Print.parse(text), steps[first:], octaves[first:], bits[first:]) >= least
+            for j in np.flatnonzero(hit).tolist():
+                if (p := find(rep)) != (q := find(told[first + j][1])):
+                    root[p] = q
+                    a.append(rep)
+                    b.append(told[first + j][1])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    block, rows = None, []
     for batch in batches:
-        a, b, pa_, pb = (batch.column(i).to_pylist() for i in range(4))
-        keep = [i for i in range(len(a)) if w.likeness(Print.parse(pa_[i]), Print.parse(pb[i])) >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
+        for band, low, high, part, rep, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (band, low, high) != block:
+                if rows:
+                    yield links(rows, *block[1:])
+                block, rows = (band, low, high), []
+            rows.append((part, rep, text))
+    if rows:
+        yield links(rows, *block[1:])
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, seed: int = SEED, bands: int = 12, bits: int = 14) -> DataFrame:
-    """doc_id, component_id, kept: documents linked by likeness of least or more to the first of a band they share.
+def near_duplicates(docs: DataFrame, least: float = 0.8, seed: int = SEED, bands: int = 12, bits: int = 14, part: int = 1024) -> DataFrame:
+    """doc_id, component_id, kept: documents linked by likeness of least or more with another of a band they share.
 
     Equal fingerprints are one class, whose least id stands for it. Documents without characters and null ids link
-    with nothing. Each band's members are compared with its first (linear in the members), over all bands.
+    with nothing; null texts are empty, very long ones are read whole; rows that share an id count as one document;
+    an empty table gives an empty one; other columns are not read. All members of a band are compared with each
+    other, on fingerprints, in blocks of ``part`` by ``part``, so no task gathers a band and no pair but links leaves.
     """
     made = stored(fingerprints(docs, seed, bands, bits))
     real = made.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     classes = stored(real.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     same = real.select("fingerprint", "doc_id").join(classes.where("copies > 1").select("fingerprint", "rep"), "fingerprint").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    banded = classes.select(F.col("rep").alias("b"), F.explode("bands").alias("band"))
-    hubs = stored(banded.groupBy("band").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"))
-    pairs = stored(banded.join(hubs, "band").where("a <> b").select("a", "b").distinct())
-    prints = classes.select("rep", "fingerprint")
-    met = pairs.join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
-    links = met.mapInArrow(partial(_alike, seed=seed, least=least), "a long, b long")
-    groups = components(links.unionByName(same))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / part).alias("parts")))
+    placed = banded.join(shared, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = stored(placed.select("band", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "rep"))
+    full = placed.join(classes.select("rep", "fingerprint"), "rep").select("band", "low", "high", "part", "rep", "fingerprint")
+    links = full.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(partial(_alike, seed=seed, least=least), "a long, b long")
+    groups = components(stored(links).unionByName(same))
     out = made.select("doc_id").join(stored(groups), F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

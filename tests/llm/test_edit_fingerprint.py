@@ -1,6 +1,9 @@
 import hashlib
+import random
 
-from loomgraph.llm.edit_fingerprint import Print, compare_edited, fingerprints, near_duplicates, walker
+import numpy as np
+
+from loomgraph.llm.edit_fingerprint import OCTAVE, Print, compare_edited, fingerprints, likeness_to, near_duplicates, walker
 
 
 def brute(rows):
@@ -50,3 +53,47 @@ def test_near_duplicates(spark):
     docs = spark.createDataFrame([(1, base), (2, base), (3, base[:900] + "?" + base[900:]), (4, base[::-1]), (5, None), (None, base)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, None: None}
+
+
+def edited(rng, text, n):
+    for _ in range(n):
+        i = rng.randrange(len(text))
+        text = text[:i] + rng.choice(["", "x", "yz"]) + text[i + rng.randrange(2) :]
+    return text
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Every pair of fingerprints by plain likeness: what banding finds of its components, and none that isn't there."""
+    rng = random.Random(6)
+    base = [" ".join(f"{c}{rng.randrange(3000)}" for _ in range(120)) for c in "abcdef"]
+    texts = [edited(rng, base[i % 6], rng.choice((0, 0, 1, 1, 2, 4))) for i in range(150)]
+    w = walker()
+    prints = [w.read(t) for t in texts]
+    bits = np.zeros((len(prints), max(len(p.bits) for p in prints), OCTAVE), np.uint8)
+    for p, b in zip(prints, bits, strict=True):
+        b[: len(p.bits)] = p.bits
+    steps, octaves = np.array([p.steps for p in prints]), np.array([len(p.bits) for p in prints])
+    pairs = set()
+    for i, p in enumerate(prints):
+        plain = np.array([w.likeness(p, q) for q in prints])
+        quick = likeness_to(w, p, steps, octaves, bits)
+        assert np.allclose(plain, quick)
+        pairs |= {(i, j) for j in np.flatnonzero(plain >= 0.8).tolist() if j != i}
+    assert len(pairs) > 1000
+    for part in (1024, 16):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), part=part).collect()}
+        linked = sum(got[i] == got[j] for i, j in pairs)
+        assert linked >= 0.99 * len(pairs)
+        root = list(range(len(texts)))
+        for i, j in sorted(pairs):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        assert all(root[i] == root[got[i]] for i in got)
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    got = near_duplicates(odd)
+    rows = got.collect()
+    assert len(rows) == odd.count() and near_duplicates(empty).count() == 0
+    by = {r["doc_id"]: r["component_id"] for r in rows}
+    assert by[6] == by[5] == 5 and by[1] == 1 and by[2] == 2 and by[None] is None and by[10] == 9
