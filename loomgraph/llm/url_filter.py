@@ -55,6 +55,12 @@ LABELLED = _labelled()
 MAX_LABELLED = 10_000
 
 
+def split(labelled: Sequence[tuple[str, int]] = LABELLED, one_in: int = 5) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """Labelled rows to fit on and, of one host in ``one_in`` by its hash, to measure on: no host is on both sides."""
+    held = lambda r: zlib.crc32(r[0].split("/")[0].encode()) % one_in == 0
+    return [r for r in labelled if not held(r)], [r for r in labelled if held(r)]
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a url; both empty where it is null or has no ``://``."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -101,21 +107,24 @@ def characters(host: Column, path: Column) -> Column:
     return F.split(F.concat(F.lit("^"), host, path, F.lit("$")), "")
 
 
-def spam_score(chars: Column, model: tuple[float, list[float]], sizes: Sequence[int] = (3, 4, 5)) -> Column:
-    """Probability of block from the n-grams, hashed with crc32, of an array of characters (a column, not computed)."""
-    bias, weights = model
-    vector = F.array(*[F.lit(float(w)) for w in weights])
+def gram_buckets(chars: Column, sizes: Sequence[int], buckets: int) -> Column:
+    """The buckets, by crc32, of the n-grams of an array of characters (a column, not computed)."""
     n = F.size(chars)
 
     def of_size(k: int) -> Column:
         first = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(first, lambda i: F.crc32(F.concat(*(F.get(chars, i + j) for j in range(k)))) % len(weights))
+        return F.transform(first, lambda i: (F.crc32(F.concat(*(F.get(chars, i + j) for j in range(k)))) % buckets).cast("int"))
 
-    hashed = [of_size(k) for k in sizes]
-    grams = F.concat(*hashed)
-    total = F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(vector, h.cast("int")))
+    return F.concat(*(of_size(k) for k in sizes))
+
+
+def spam_score(grams: Column, model: tuple[float, list[float]]) -> Column:
+    """Probability of block from an array of buckets (a column, not computed)."""
+    bias, weights = model
+    vector = F.array(*[F.lit(float(w)) for w in weights])
+    total = F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(vector, h))
     # the norm of the count vector: runs of equal buckets in sorted order
-    square = F.aggregate(F.array_sort(grams), F.struct(F.lit(-1).cast("bigint").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
+    square = F.aggregate(F.array_sort(grams), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
                          lambda a, h: F.struct(h.alias("last"), F.when(h == a["last"], a["run"] + 1).otherwise(F.lit(1.0)).alias("run"), (a["sum"] + F.when(h == a["last"], 2 * a["run"] + 1).otherwise(F.lit(1.0))).alias("sum")), lambda a: a["sum"])
     return 1 / (1 + F.exp(-(F.lit(bias) + total / F.sqrt(F.greatest(square, F.lit(1.0))))))
 
@@ -124,12 +133,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label
     """page_id, host, path, rule, verdict, score of every url. Narrow: no shuffle, one scan of two columns.
 
     Null urls and urls without ``://`` have empty host and path and are judged by the regression on the
-    empty text. Equal rows give equal rows; other columns of pages are not read.
+    empty text. Equal rows give equal rows; an empty table gives an empty one; very long urls are read whole, at a
+    cost linear in their length; other columns of pages are not read. labelled: (host and path, 1 to block) rows to
+    fit on, MAX_LABELLED at most; split() keeps hosts apart for measuring.
     """
     host, path = parts(F.col("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))
-    df = df.withColumn("chars", characters(F.col("host"), F.col("path")))
-    score = spam_score(F.col("chars"), fit(labelled, sizes, buckets), sizes)
+    # grams are a column of their own, so that they are made once for the sum and the norm
+    df = df.withColumn("chars", characters(F.col("host"), F.col("path"))).withColumn("grams", gram_buckets(F.col("chars"), sizes, buckets))
+    score = spam_score(F.col("grams"), fit(labelled, sizes, buckets))
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
     df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
     return df.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

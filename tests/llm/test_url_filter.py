@@ -50,6 +50,26 @@ def test_scores_equal_the_fitted_model(spark, sf):
         assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
+def test_verdicts_of_hosts_that_are_not_fitted(spark):
+    """Learned verdicts on held-out hosts of the labelled table, away from the rules."""
+    from loomgraph.llm.url_filter import split
+
+    fitted, held = split()
+    assert len(held) > 150 and not {r[0].split("/")[0] for r in fitted} & {r[0].split("/")[0] for r in held}
+    pages = spark.createDataFrame([(i, f"https://{t}") for i, (t, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r for r in judge(pages, rules=(), labelled=fitted).collect()}
+    right = sum((got[i]["verdict"] == "block") == (y == 1) for i, (_, y) in enumerate(held))
+    assert right >= 0.95 * len(held)
+
+
+def test_odd_documents(odd, empty):
+    from pyspark.sql import functions as F
+
+    pages = odd.withColumn("page_id", F.col("doc_id")).withColumn("url", F.concat(F.lit("http://"), "text")).withColumn("grams", F.lit(1)).withColumn("chars", F.lit("x"))
+    assert judge(pages).count() == odd.count()
+    assert judge(pages.limit(0)).count() == 0
+
+
 def test_odd_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Example.COM", "x://EXAMPLE.com/en/7?q#f", "http://a.b://c/d", "http://notcom/en/", "http://com/en/", "http://é.org/es/\n1", "http://h#/en/", "http://" + "a" * 100_000]
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")
