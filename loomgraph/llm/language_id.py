@@ -203,22 +203,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     kept()
     for batch in batches:
         out = [model.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*batch.schema.names, *names])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred (a learned language, ``und`` for texts that are null or have no letter) and lang_score.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with two more columns of these names: lang_pred (a learned language, ``und`` for texts that are null or have no letter) and lang_score.
 
     The text is the only input. Rows are independent: repeated rows get equal results, an empty table gives an
     empty one, and a model without languages says ``und``. Columns of docs named like a result are replaced. All
     other columns pass through untouched, so texts are read once and never shuffled.
     """
     ready_workers(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "text")]
-    df = docs.select(*(F.col(f"`{c}`") for c in kept), "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string", "lang_score double"])
-    return df.mapInArrow(partial(_predict, model=model), schema)
+    others = [c for c in docs.columns if c not in (*names, "text")]
+    df = docs.select(*(F.col(f"`{c}`") for c in others), "text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{names[0]}` string", f"`{names[1]}` double"])
+    return df.mapInArrow(partial(_predict, model=model, names=names), schema)
