@@ -25,34 +25,52 @@ from loomgraph.llm.pii import train as train_field
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null or have no letter go; lang is what the text says, not what was claimed.
 
-    Where no language can be learned (no text has one), nothing is said of lang.
+    Where no language can be learned (no text has one), nothing is said of lang. Rows are judged one by one: repeated
+    rows and null ids stay as they are, very long texts are read whole, an empty table stays empty, other columns pass.
     """
     model = train_language(docs)
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    held = identify(docs, model).where(F.col("lang_pred") != "und")
-    return held.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    found = "lang_pred"
+    while found in docs.columns or f"{found}_score" in docs.columns:
+        found += "_"
+    held = identify(docs, model, (found, f"{found}_score")).where(F.col(found) != "und")
+    return held.select(*(F.col(found).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8, the least id.
+
+    Texts without words and rows with a null id stay. Rows that share an id are one document: they stay or go
+    together. An empty table stays empty; other columns pass.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text is replaced by its kind; n_chars follows the text."""
+    """Personal data in the text is replaced by its kind; n_chars follows the text.
+
+    No row goes. Null and empty texts stay; the field is learned from all texts; an empty table stays empty.
+    """
     clean = mask(docs, train_field(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources get their target weights: a document is there as often as the mix takes it."""
+    """Sources get their target weights: a document is there as often as the mix takes it, twice at most.
+
+    Null sources are a source; documents without words are kept once; repeated rows are documents of their own; ties
+    in the shuffled order go together; an empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of every document, with the digest of the decoded text."""
+    """doc_id, lang, source, n_tokens and ids of every document, with the digest of the decoded text.
+
+    Null texts are empty and have no ids; repeated rows and null ids stay; an empty table stays empty.
+    """
     return encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), result="hashed")
 
 
