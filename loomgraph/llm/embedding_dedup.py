@@ -24,7 +24,7 @@ from loomgraph.llm.components import components
 
 SAMPLE, BLOCK = 4096, 512
 #: Rough seconds that a row costs in each table, and that a compared pair costs.
-ROW_COST, PAIR_COST = 3e-6, 1e-7
+ROW_COST, PAIR_COST = 1e-5, 1e-7
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
