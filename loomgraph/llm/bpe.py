@@ -34,7 +34,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+
 LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 LATIN_WORDS = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+"
 NOT_LATIN = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]"
-#: Words in the automaton; bytes of words and ids kept ready by a worker; bytes of words counted before they are handed on.
+#: Words in the automaton; bytes of words and ids of one generation kept ready by a worker (there are two); bytes of words counted before they are handed on.
 LEXICON, READY, HELD = 1 << 17, 24 << 20, 24 << 20
 #: About the bytes of an entry of a dictionary of words besides the word's letters.
 ENTRY = 160
@@ -238,7 +238,10 @@ class Transducer:
 
 
 class Encoder:
-    """Ids of texts: a store of words met, bounded in bytes, then the transducer, then exact merging.
+    """Ids of texts: a store of words met, then the transducer, then exact merging.
+
+    The store is bounded in bytes: a full generation becomes the old one, from which words that are met again are
+    taken over, and the one before that goes.
 
     The store holds the ids of a word, or only their decimal form where digests are wanted.
     """
@@ -246,6 +249,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer, decimal: bool = False):
         self.vocabulary, self.transducer, self.decimal = vocabulary, transducer, decimal
         self.ready: dict[str, tuple[int, ...] | str] = {}
+        self.old: dict[str, tuple[int, ...] | str] = {}
         self.held = 0
         #: words whose ids decode to other bytes than their own
         self.changed: dict[str, bytes] = {}
@@ -253,15 +257,19 @@ class Encoder:
     def words(self, texts: Sequence[str | None]) -> list[list[str]]:
         """The words of each text; all are in the store afterwards."""
         if self.held > READY:
-            self.ready.clear()
-            self.changed.clear()
-            self.held = 0
+            self.old, self.ready, self.held = self.ready, {}, 0
+            self.changed = {w: b for w, b in self.changed.items() if w in self.old}
         out = [self.vocabulary.split(t) if t else [] for t in texts]
         self._learn(list(set(filterfalse(self.ready.__contains__, chain.from_iterable(out)))))
         return out
 
     def _learn(self, new: list[str]) -> None:
         v, t, bytes_of = self.vocabulary, self.transducer, self.vocabulary.bytes_of.__getitem__
+        if self.old:
+            again = list(filter(self.old.__contains__, new))
+            self.ready.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            self.held += sum(map(len, again)) + (ENTRY + 30) * len(again)
+            new = list(filterfalse(self.old.__contains__, new))
         raw = [w.encode() for w in new]
         rank = t.ranks(raw)
         first, last, out = t.at[rank].tolist(), t.at[rank + 1].tolist(), t.out
