@@ -3,11 +3,15 @@ import random
 
 import numpy as np
 
-from loomgraph.llm.edit_fingerprint import OCTAVE, Print, compare_edited, fingerprints, likeness_to, near_duplicates, walker
+from loomgraph.llm.edit_fingerprint import BANDS, BITS, OCTAVE, Print, compare_edited, fingerprints, likeness_to, near_duplicates, plan_bands, walker
 
 
 def brute(rows):
     w = walker()
+
+    def shared(p, q):
+        return len(set(w.bands(p, BANDS, BITS).tolist()) & set(w.bands(q, BANDS, BITS).tolist()))
+
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = []
     for k, (i, t) in enumerate(rows):
@@ -15,12 +19,12 @@ def brute(rows):
         q = len(t) // 4
         e = t[: len(t) - q] + after[:q]
         a, b, c = w.read(t), w.read(e), w.read(after)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), str(a), str(b), round(w.likeness(a, b), 12), round(w.likeness(a, c), 12)))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), str(a), str(b), round(w.likeness(a, b), 12), round(w.likeness(a, c), 12), shared(a, b), shared(a, c)))
     return sorted(out, key=repr)
 
 
 def found(df):
-    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in df.collect()), key=repr)
+    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12), r["bands_edited"], r["bands_next"]) for r in df.collect()), key=repr)
 
 
 def test_equals_brute_force(spark, sf):
@@ -55,6 +59,26 @@ def test_near_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, None: None}
 
 
+def test_bands_ask_more_of_more_texts():
+    """Unrelated texts of any length seldom share a band; alike ones nearly always do."""
+    rng = random.Random(9)
+    w = walker()
+    bits, bands = plan_bands(10_000, 0.8, 1e-3)
+    assert plan_bands(10**9, 0.8, 1e-3)[0] > bits and plan_bands(0, 0.8, 1e-3)[1] >= 1
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice((90, 260, 330, 650, 1300)) + rng.randrange(9))) for _ in range(400)]
+    prints = [w.read(t) for t in texts]
+    keys = [set(w.bands(p, bands, bits).tolist()) for p in prints]
+    met = sum(not keys[i].isdisjoint(keys[j]) for i in range(400) for j in range(i))
+    assert met <= 0.02 * 400 * 399 / 2
+    alike = found = 0
+    for t, p, k in zip(texts, prints, keys, strict=True):
+        q = w.read(edited(rng, t, 1))
+        if w.likeness(p, q) >= 0.8:
+            alike += 1
+            found += not k.isdisjoint(w.bands(q, bands, bits).tolist())
+    assert alike > 150 and found >= 0.99 * alike
+
+
 def edited(rng, text, n):
     for _ in range(n):
         i = rng.randrange(len(text))
