@@ -162,7 +162,7 @@ class Print:
 def plan_bands(texts: int, least: float, miss: float) -> tuple[int, int]:
     """(bits a band, bands a level) for so many texts: a chance meeting in a band is rarer than one a text, and texts of
     likeness ``least`` on two common levels share no band with probability ``miss``."""
-    bits = min(40, max(12, math.ceil(math.log2(max(1, texts))) + 2))
+    bits = min(40, max(12, math.ceil(math.log2(max(1, texts))) + 4))
     return bits, math.ceil(math.log(miss) / math.log1p(-(((1 + least) / 2) ** bits)) / 2)
 
 
