@@ -36,6 +36,7 @@ PERIOD, OCTAVE, PART, SEED = 1024, 128, 4, 20
 PAD = 256  # stands for the characters after a text's end
 #: Levels of a text that give bands; bits a band and bands a level where the number of texts is not asked for.
 LEVELS, BITS, BANDS = 3, 20, 27
+MOST_BANDS = 1024
 
 
 class Walker:
@@ -103,11 +104,11 @@ class Walker:
 
     def bands(self, p: Print, bands: int, bits: int) -> np.ndarray:
         """Keys of a fingerprint's bands: level, number of the band and the bits it samples."""
-        out = []
-        for level in self.levels(p.steps):
-            octave, pick, salt = self._band(level, bands, bits)
-            out.append(mix((p.bits[octave] @ pick).astype(np.uint64) ^ salt))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        chosen = [self._band(level, bands, bits) for level in self.levels(p.steps)]
+        if not chosen:
+            return np.zeros(0, np.int64)
+        sums = np.concatenate([p.bits[octave].astype(float) @ pick for octave, pick, _ in chosen])
+        return mix(sums.astype(np.uint64) ^ np.concatenate([salt for *_, salt in chosen])).view(np.int64)
 
     def _band(self, level: int, bands: int, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
         """A level's octave, the powers of two (exact in doubles) by which each band sums its bits, and each band's salt."""
@@ -161,9 +162,14 @@ class Print:
 
 def plan_bands(texts: int, least: float, miss: float) -> tuple[int, int]:
     """(bits a band, bands a level) for so many texts: a chance meeting in a band is rarer than one a text, and texts of
-    likeness ``least`` on two common levels share no band with probability ``miss``."""
+    likeness ``least`` on two common levels share no band with probability ``miss``. A least likeness that would ask
+    for more than MOST_BANDS is an error."""
     bits = min(40, max(12, math.ceil(math.log2(max(1, texts))) + 4))
-    return bits, math.ceil(math.log(miss) / math.log1p(-(((1 + least) / 2) ** bits)) / 2)
+    agree = min(0.99, (1 + least) / 2) ** bits
+    bands = max(1, math.ceil(math.log(miss) / math.log1p(-agree) / 2))
+    if bands > MOST_BANDS:
+        raise ValueError(f"a likeness of {least} asks for {bands} bands a level among {texts} texts; {MOST_BANDS} at most")
+    return bits, bands
 
 
 def walker(seed: int = SEED) -> Walker:
@@ -184,7 +190,7 @@ class _Read:
         self.codes = w.classes(self.text)
         self.states = w.states(self.codes)
         self.print = w.print(self.codes, self.states)
-        self.bands = w.bands(self.print, BANDS, BITS)
+        self.keys = frozenset(w.bands(self.print, BANDS, BITS).tolist())
 
     def with_next(self, w: Walker, after: _Read) -> tuple:
         n = len(self.text)
@@ -195,7 +201,7 @@ class _Read:
         states = np.concatenate((self.states[:cut], w.states(rest, int(self.states[cut]))))
         fresh = w.print(self.codes[:cut] + rest, states)
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        shared = (len(np.intersect1d(self.bands, b, assume_unique=True)) for b in (w.bands(fresh, BANDS, BITS), after.bands))
+        shared = (len(self.keys.intersection(b)) for b in (w.bands(fresh, BANDS, BITS).tolist(), after.keys))
         return (self.id, n, sha, str(self.print), str(fresh), w.likeness(self.print, fresh), w.likeness(self.print, after.print), *shared)
 
 

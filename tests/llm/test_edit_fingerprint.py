@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from loomgraph.llm.edit_fingerprint import BANDS, BITS, OCTAVE, Print, compare_edited, fingerprints, likeness_to, near_duplicates, plan_bands, walker
 
@@ -64,7 +65,9 @@ def test_bands_ask_more_of_more_texts():
     rng = random.Random(9)
     w = walker()
     bits, bands = plan_bands(10_000, 0.8, 1e-3)
-    assert plan_bands(10**9, 0.8, 1e-3)[0] > bits and plan_bands(0, 0.8, 1e-3)[1] >= 1
+    assert plan_bands(10**9, 0.8, 1e-3)[0] > bits and plan_bands(0, 0.8, 1e-3)[1] >= 1 and plan_bands(100, 1.0, 1e-3)[1] >= 1
+    with pytest.raises(ValueError, match="bands a level"):
+        plan_bands(10**9, 0.2, 1e-3)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice((90, 260, 330, 650, 1300)) + rng.randrange(9))) for _ in range(400)]
     prints = [w.read(t) for t in texts]
     keys = [set(w.bands(p, bands, bits).tolist()) for p in prints]
